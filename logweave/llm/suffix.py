@@ -4,8 +4,9 @@
    smallest hash among its GRAM-byte grams; a run of windows with the same gram is one stretch.  What a window belongs to
    depends on its bytes alone, so equal windows lie at the same place of stretches with the same gram.
 2. Hashes of (gram, stretch), one of each per chunk, meet in buckets of grams.  Every stretch but the first of equal ones
-   is repeated as a whole; a gram with one kind of stretch needs no more work.  Only the first stretches of grams with
-   several kinds go on as bytes.
+   is repeated as a whole.  Two kinds of stretch with a window in common also have in common the half of the other
+   bytes of a window that stands before the gram, or that after it; hashes of these tell which first stretches to compare.
+   Only those go on as bytes.
 3. Those are joined into one text per bucket, with a suffix array by prefix doubling.  Threshold-bounded interval
    expansion on its Burrows-Wheeler transform gives the common prefixes: breadth first, boundaries of value l, prolonged
    to the left by one byte, give those of value l + 1, and all stops at `length`.  What is left without a boundary are
@@ -35,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from logweave.llm import common as c
 
 #: Bytes of a gram, of a chunk, of the stretches in a bucket; hashes in a bucket.
-GRAM, CHUNK, STRETCHES, HASHES = 24, 4 << 20, 1 << 20, 500_000
+GRAM, CHUNK, STRETCHES, HASHES = 24, 4 << 20, 1 << 17, 500_000
 NULL_ID = np.iinfo(np.int64).max
 
 
@@ -104,9 +105,12 @@ def chunk_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def stretches(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(gram, hash, first window, last window) of every stretch, in order; windows are named by their first byte."""
+    """(gram, hash, first window, last window, hash before, hash after) of every stretch, in order.
+
+    Windows are named by their first byte; the hashes before and after the gram are 0 where the stretch ends too early.
+    """
     out: list[tuple] = []
-    span = length - GRAM + 1
+    span, half = length - GRAM + 1, (length - GRAM + 1) // 2
     for lo in range(0, max(len(data) - length + 1, 0), c.SLICE):
         d = data[lo : lo + c.SLICE + length - 1]
         s = c.prefix_sums(d, c.BYTES)
@@ -131,8 +135,12 @@ def stretches(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray
         a, b = np.flatnonzero(new), np.flatnonzero(end)
         p = (h[a] & np.uint64(0xFFFFFF)).astype(np.int64)
         v = (s[b + length] - s[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (p - a).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-        out.append((h[a] >> np.uint64(24), c.mix(v), a + lo, b + lo))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        x, y = np.maximum(p - half, a), np.minimum(p + GRAM + half, b + length)
+        before = np.where(p - half >= a, c.mix((s[p] - s[x]) * inverse[x]) >> np.uint64(32) | np.uint64(1), np.uint64(0))
+        after = np.where(p + GRAM + half <= b + length, c.mix((s[y] - s[p + GRAM]) * inverse[p + GRAM]) >> np.uint64(32) | np.uint64(1), np.uint64(0))
+        out.append((h[a] >> np.uint64(24), c.mix(v), a + lo, b + lo, before.astype(np.uint32), after.astype(np.uint32)))
+    types = (np.uint64, np.uint64, np.int64, np.int64, np.uint32, np.uint32)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.empty(0, t) for t in types)
 
 
 def first_of_chunk(gram: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -155,31 +163,33 @@ def _hashes(length: int, buckets: int):
             for k in range(b.num_rows):
                 t = pa.Table.from_batches([b.slice(k, 1)])
                 ids, at, data = chunk_of(t)
-                gram, h, a, _ = stretches(data, at, length)
+                gram, h, a, _, before, after = stretches(data, at, length)
                 first = np.flatnonzero(first_of_chunk(gram, h))
                 row = np.searchsorted(at, a[first], "right") - 1
                 parts = by_bucket(gram[first], buckets)
-                rows = [pack(gram[first[i]], h[first[i]], ids[row[i]], a[first[i]].astype(np.uint32)) for _, i in parts]
+                rows = [pack(gram[first[i]], h[first[i]], ids[row[i]], a[first[i]].astype(np.uint32), before[first[i]], after[first[i]]) for _, i in parts]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in parts], pa.int64()), pa.array([t.column("chunk")[0].as_py()] * len(parts), pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "chunk", "hashes"])
 
     return kernel
 
 
 def _statuses(t: pa.Table) -> pa.Table:
-    """For each stretch of a bucket: 0 unique, 1 repeated as a whole, 2 the first of a kind where its gram has more kinds."""
+    """For each stretch of a bucket: 0 unique, 1 repeated as a whole, 2 the first of a kind that may share a window with another kind."""
     chunk = t.column("chunk").to_numpy()
-    parts = [unpack(x.as_py(), np.uint64, np.uint64, np.int64, np.uint32) for x in t.column("hashes")]
+    parts = [unpack(x.as_py(), np.uint64, np.uint64, np.int64, np.uint32, np.uint32, np.uint32) for x in t.column("hashes")]
     lens = np.array([len(p[0]) for p in parts])
-    gram, h, id_, a = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    gram, h, id_, a, before, after = (np.concatenate([p[k] for p in parts]) for k in range(6))
     order = np.lexsort((a, np.repeat(chunk, lens), id_, h, gram))
     g, v = gram[order], h[order]
-    new_gram, new_kind = np.ones(len(g), bool), np.ones(len(g), bool)
-    new_gram[1:] = g[1:] != g[:-1]
-    new_kind[1:] = new_gram[1:] | (v[1:] != v[:-1])
-    kinds = np.add.reduceat(new_kind.astype(np.int64), np.flatnonzero(new_gram)) if len(g) else np.empty(0, np.int64)
-    several = np.repeat(kinds > 1, np.diff(np.append(np.flatnonzero(new_gram), len(g))))
-    status = np.empty(len(g), np.uint8)
-    status[order] = np.where(~new_kind, 1, np.where(several, 2, 0))
+    new_kind = np.ones(len(g), bool)
+    new_kind[1:] = (g[1:] != g[:-1]) | (v[1:] != v[:-1])
+    kinds = order[new_kind]
+    shared = np.zeros(len(kinds), bool)
+    for side in (before[kinds], after[kinds]):
+        _, at, n = np.unique(c.mix(c.mix(gram[kinds]) + side), return_inverse=True, return_counts=True)
+        shared |= (n[at.reshape(-1)] > 1) & (side > 0)
+    status = np.ones(len(g), np.uint8)
+    status[kinds] = np.where(shared, 2, 0)
     out = np.split(status, np.cumsum(lens)[:-1])
     keep = [i for i, s in enumerate(out) if s.any()]
     return pa.table({"chunk": pa.array(chunk[keep], pa.int64()), "bucket": pa.array([t.column("bucket")[0].as_py()] * len(keep), pa.int64()), "status": pa.array([pack(out[i]) for i in keep], pa.binary())})
@@ -193,7 +203,7 @@ def _resolve(length: int, buckets: int, groups: int):
         if left.num_rows:
             ids, at, data = chunk_of(left)
             chunk = left.column("chunk")[0].as_py()
-            gram, h, a, b = stretches(data, at, length)
+            gram, h, a, b, _, _ = stretches(data, at, length)
             first = first_of_chunk(gram, h)
             status = np.ones(len(gram), np.uint8)
             status[first] = 0
@@ -257,24 +267,24 @@ def equal_prefixes(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
     that stand one symbol further left, if that symbol is the same.  Values of `length` and more are never derived.
     """
     n = len(sa)
-    place = np.empty(n + 1, dtype=np.int64)
-    place[sa] = np.arange(n)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    place = np.empty(n + 1, dtype=kind)
+    place[sa] = np.arange(n, dtype=kind)
     place[n] = -1  # the empty suffix comes before all others
-    bwt_of = text[sa]
+    first = text[sa]
     known = np.ones(n, dtype=bool)
-    known[1:] = bwt_of[1:] != bwt_of[:-1]
+    known[1:] = first[1:] != first[:-1]
     right = place[sa + 1]
-    lo, hi = np.minimum(right[1:], right[:-1]), np.maximum(right[1:], right[:-1])
-    open_ = np.flatnonzero(~known[1:])
+    rows = np.flatnonzero(~known[1:]).astype(kind) + 1
+    lo, hi = np.minimum(right[rows], right[rows - 1]), np.maximum(right[rows], right[rows - 1])
+    upto = np.zeros(n + 1, dtype=kind)  # boundaries before a row
     for _ in range(1, length):
-        if not len(open_):
-            break
-        upto = np.cumsum(known)
-        hit = (upto[hi[open_]] > np.where(lo[open_] >= 0, upto[lo[open_]], 0)) | (lo[open_] < 0)
-        known[open_[hit] + 1] = True
-        open_ = open_[~hit]
+        np.cumsum(known, out=upto[1:])
+        hit = (upto[hi + 1] > upto[lo + 1]) | (lo < 0)
         if not hit.any():
             break
+        known[rows[hit]] = True
+        rows, lo, hi = rows[~hit], lo[~hit], hi[~hit]
     return known
 
 
@@ -377,7 +387,7 @@ def _ranges(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     bare = chunks.drop("carried")
     hashes = bare.mapInArrow(_hashes(length, buckets), "bucket long, chunk long, hashes binary")
     statuses = hashes.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_statuses, "chunk long, bucket long, status binary")
-    groups = max(least, size // 8 // STRETCHES + 1)
+    groups = max(least, size // 16 // STRETCHES + 1)  # arrays of so few bytes stay in a core's cache
     resolve = _resolve(length, buckets, groups)
     told = c.stored(bare.groupBy("chunk").cogroup(statuses.groupBy("chunk")).applyInArrow(resolve, "kind int, place long, data binary"), "ranges")
     compared = told.where("kind = 1").repartition(groups, "place").groupBy("place").applyInArrow(_compare(length), "place long, data binary")
