@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -29,9 +30,12 @@ from pyspark.sql import functions as F
 from logweave.llm import common as c
 
 #: Longest word kept, and words kept, by a worker's memory of tokenized words.
-WORD_BYTES, WORDS = 48, 1_000_000
+WORD_BYTES, WORDS = 48, 1_500_000
 
-_loaded: dict[str, tuple] = {}
+#: ASCII punctuation that ends a run of letters for the tokenizer; not the apostrophe, which may begin a suffix.
+TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+_loaded: dict[str, "Words"] = {}
 
 
 def default_tokenizer() -> str:
@@ -40,32 +44,82 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenizer(path: str) -> tuple:
-    if path not in _loaded:
+class Words:
+    """A tokenizer's ids of words, remembered.
+
+    The tokenizer lower-cases, drops white space and splits letters from punctuation, so a word of letters and the
+    punctuation behind it have their own ids.  New words of letters are tokenized in one text and told apart by the ids
+    that end a word; if their number is not that of the words, and for all other words, each is tokenized alone.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
+        self.model = Tokenizer.from_file(path)
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.letters: dict[bytes, bytes] = {}
+
+    def alone(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def learn(self, words: set[bytes]) -> None:
+        split, other, letters = [], [], set()
+        for w in words:
+            core = w.rstrip(TAIL)
+            if core and (core.isalpha() if core.isascii() else unicodedata.normalize("NFC", core.decode()).lower().isalpha()):
+                core_low = core.lower()
+                split.append((w, core_low, w[len(core) :]))
+                letters.add(core_low)
+            else:
+                other.append(w)
+        if len(self.letters) > WORDS:
+            self.letters.clear()
+        new = list(letters.difference(self.letters))
+        for i in range(0, len(new), 2000):
+            part = new[i : i + 2000]
+            ids = np.array(self.model.encode(b" ".join(part).decode(), add_special_tokens=False).ids, dtype="<u4")
+            at = 4 * np.flatnonzero(self.ends[ids]) + 4
+            if len(at) == len(part) and at[-1] == 4 * len(ids):
+                raw, cuts = ids.tobytes(), [0, *at.tolist()]
+                self.letters.update((w, raw[x:y]) for w, x, y in zip(part, cuts[:-1], cuts[1:], strict=True))
+            else:
+                self.letters.update(zip(part, self.alone(part), strict=True))
+        tails = list({t for _, _, t in split}.union(other).difference(self.known))
+        self.known.update(zip(tails, self.alone(tails), strict=True))
+        letters_, known = self.letters, self.known
+        for w, core, tail in split:
+            known[w] = letters_[core] + known[tail] if tail else letters_[core]
+
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Each text's ids as little-endian 32-bit integers."""
+        # Lower case first: fewer words.  Special tokens are of lower case, so a text that may hold one stays as it is.
+        split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > WORDS:
+            self.known.clear()
+            new = set().union(*split)
+        if new:
+            self.learn(new)
+        for words in split:
+            yield b"".join(map(self.known.__getitem__, words))
+        for w in new:
+            if len(w) > WORD_BYTES:
+                self.known.pop(w, None)
+                self.letters.pop(w.rstrip(TAIL).lower(), None)
+
+
+def tokenizer(path: str) -> Words:
+    if path not in _loaded:
+        _loaded[path] = Words(path)
     return _loaded[path]
 
 
 def token_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
-    """Each text's ids as little-endian 32-bit integers."""
-    model, known = tokenizer(path)
-    split = [t.split() for t in texts]
-    new = set().union(*split).difference(known) if split else set()
-    if len(known) + len(new) > WORDS:
-        known.clear()
-        new = set().union(*split)
-    if new:
-        new = list(new)
-        for w, e in zip(new, model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-    for words in split:
-        yield b"".join(map(known.__getitem__, words))
-    for w in new or ():
-        if len(w) > WORD_BYTES:
-            known.pop(w, None)
+    return tokenizer(path).ids(texts)
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, place long, ids binary"
