@@ -33,6 +33,8 @@ START = "<s>"
 MARKS = {"system": ("<<SYS>>\n", "\n<</SYS>>\n"), "user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>")}
 _CONTROL = re.compile(r"(\\*)(" + "|".join(map(re.escape, CONTROLS)) + ")")
 _OTHER = re.compile(r"\[ROLE=([A-Za-z0-9_.~%-]*)\] ")
+#: The beginning of a mark that opens a turn.
+_PART = re.compile(r"\[(?:I(?:N(?:S(?:T\]?)?)?)?)?|<(?:<(?:S(?:Y(?:S(?:>>?)?)?)?)?)?|\[(?:R(?:O(?:L(?:E(?:=[A-Za-z0-9_.~%-]*\]?)?)?)?)?)?")
 
 
 class Conflict(ValueError):
@@ -67,6 +69,8 @@ def parse_turn(text: str, at: int) -> tuple[str, str, int, int, int] | None:
         if m[1]:
             continue
         end = m.start() - (len(closing) - len(closing.lstrip()))
+        if m[2] == mark and m.end() == len(text) and len(text) - end < len(closing):
+            return None  # its last line end is still to come
         if m[2] != mark or end < begin or not text.startswith(closing, end):
             raise Conflict(m[0])
         return role, unescape(text[begin:end]), begin, end, end + len(closing)
@@ -99,10 +103,12 @@ class Parser:
         self.rest += piece
         at = 0
         if not self.started:
+            if len(self.rest) < len(START):
+                return
             if not self.rest.startswith(START):
                 raise Conflict(self.rest[:40])
             at, self.started = len(START), True
-        while at < len(self.rest) and (turn := parse_turn(self.rest, at)):
+        while at < len(self.rest) and not _PART.fullmatch(self.rest, at) and (turn := parse_turn(self.rest, at)):
             yield turn[:2]
             at = turn[4]
         self.rest = self.rest[at:]
