@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -9,8 +10,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes at which words end: space and 0x09 to 0x0D.
 SEPARATOR = np.zeros(256, dtype=bool)
@@ -19,12 +22,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Large texts are hashed in slices of so many bytes, which bounds a worker's memory.
 SLICE = 1 << 20
+#: Rows of an Arrow batch, at most.
+BATCH = 2000
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    # Arrow batches of long texts are large; fewer rows in each bound what a task holds.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
@@ -147,6 +155,22 @@ def slices(offsets: np.ndarray, size: int = 4 * SLICE) -> Iterator[tuple[int, in
         i = j
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, byte planes apart, which compress well."""
+    n = len(arrays[0])
+    return zstandard.compress(n.to_bytes(8, "little") + b"".join(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(n, -1).T).tobytes() for x in arrays), 1) if n else zstandard.compress((0).to_bytes(8, "little"), 1)
+
+
+def unpack(data: bytes, *types) -> list[np.ndarray]:
+    data = zstandard.decompress(data, max_output_size=1 << 31)
+    n, at, out = int.from_bytes(data[:8], "little"), 8, []
+    for t in types:
+        size = np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(t).reshape(n))
+        at += n * size
+    return out
+
+
 # ---------------------------------------------------------------- graphs
 
 
@@ -197,7 +221,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = prepare(edges.sparkSession)
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
-    edges = stored(edges.mapInArrow(_forests, "a long, b long"), "edges")
+    edges = stored(map_arrow(edges, _forests, "a long, b long"), "edges")
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -218,6 +242,36 @@ def components(edges: DataFrame) -> DataFrame:
     return low.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def map_arrow(df: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+def release() -> None:
+    """Give freed memory back to the machine: workers live on between stages, beside each other and a JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def map_arrow(df: DataFrame, kernel: Callable, schema: str | StructType) -> DataFrame:
+    """df.mapInArrow, with freed memory given back at a task's end."""
     prepare(df.sparkSession)
-    return df.mapInArrow(kernel, schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def by_group(kernel: Callable) -> Callable:
+    """kernel of a table, with freed memory given back after large groups."""
+
+    def run(t: pa.Table) -> pa.Table:
+        large = t.nbytes > 1 << 18
+        out = kernel(t)
+        if large:
+            release()
+        return out
+
+    return run

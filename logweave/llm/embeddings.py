@@ -35,19 +35,20 @@ HOMES, OTHERS = 2048, 8192
 SLACK = 1e-4
 
 
-def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as bytes of 64-bit floats, or of 32-bit ones if these hold the same; null for what links with nothing."""
-    for b in batches:
-        out: list[bytes | None] = []
-        for v in b.column(1):
-            if not v.is_valid or v.values.null_count or not len(v.values):
-                out.append(None)
-                continue
-            x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-            with np.errstate(over="ignore", invalid="ignore"):
-                norm = np.abs(x).max()
-                out.append(x.tobytes() if np.isfinite(x).all() and norm > 0 else None)
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "v"])
+def _pack(kind: str):
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors as the bytes of their floats; null for what links with nothing."""
+        for b in batches:
+            out: list[bytes | None] = []
+            for v in b.column(1):
+                if not v.is_valid or v.values.null_count or not len(v.values):
+                    out.append(None)
+                    continue
+                x = v.values.to_numpy(zero_copy_only=False).astype(kind) + 0
+                out.append(x.tobytes() if np.isfinite(x).all() and x.any() else None)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "v"])
+
+    return kernel
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -55,9 +56,10 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def vectors(column: pa.Array, dim: int) -> np.ndarray:
+def vectors(data: Iterable[bytes], dim: int, kind: str) -> np.ndarray:
     """Unit vectors, in double precision."""
-    return unit(np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)) if len(column) else np.empty((0, dim))
+    x = np.frombuffer(b"".join(data), kind).reshape(-1, dim).astype(np.float64)
+    return unit(x) if len(x) else x
 
 
 def spherical_kmeans(x: np.ndarray, k: int) -> np.ndarray:
@@ -84,14 +86,15 @@ def _assign(x: np.ndarray, centers: np.ndarray, cosine: float) -> tuple[np.ndarr
     return home, near, guest
 
 
-def _cells(dim: int, centers: np.ndarray, cosine: float, radius: np.ndarray | None, plan: dict | None):
-    """Without a plan: (cell, homes, guests, least cosine of a home) of a task.  With one: vectors dealt to pairs of blocks."""
+def _cells(dim: int, kind: str, centers: np.ndarray, cosine: float, radius: np.ndarray | None, plan: dict | None):
+    """Without a plan: (cell, homes, guests, least cosine of a home) of a task.  With one: packed vectors dealt to pairs of blocks."""
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(centers)
         homes, guests, least = np.zeros(k, np.int64), np.zeros(k, np.int64), np.ones(k)
         for b in batches:
-            x = vectors(b.column("v"), dim)
+            raw = b.column("v").to_pylist()
+            x = vectors(raw, dim, kind)
             if not len(x):
                 continue
             home, near, guest = _assign(x, centers, cosine)
@@ -102,34 +105,44 @@ def _cells(dim: int, centers: np.ndarray, cosine: float, radius: np.ndarray | No
                 guests += guest.sum(0)
                 np.minimum.at(least, home, near[np.arange(len(x)), home])
                 continue
-            id_ = b.column("rep").to_numpy()
+            id_, times = b.column("rep").to_numpy(), b.column("times").to_numpy()
             slot = (c.mix(id_.astype(np.uint64)) >> np.uint64(33)).astype(np.int64)
+            table = np.frombuffer(b"".join(raw), np.uint8).reshape(len(x), -1)
             at: list[tuple] = []
+
+            def deal(rows: np.ndarray, role: int, places: list[tuple[int, int, int]]) -> None:
+                if len(rows):
+                    data = len(rows).to_bytes(8, "little") + id_[rows].tobytes() + times[rows].tobytes() + table[rows].tobytes()
+                    at.extend((*place, role, data) for place in places)
+
             for cell in range(k):
                 rows = np.flatnonzero((home == cell) | guest[:, cell])
-                if not len(rows):
-                    continue
                 nq, nc = plan["homes"][cell], plan["others"][cell]
                 mine = rows[home[rows] == cell]
-                for j in range(nc):
-                    at += [(cell, q, j, r, 0) for q, r in zip(slot[mine] % nq, mine, strict=True)]
                 for q in range(nq):
-                    at += [(cell, q, j, r, 1) for j, r in zip(slot[rows] // 64 % nc, rows, strict=True)]
-            take = pa.array([x[3] for x in at], pa.int64())
-            cols = [pa.array([x[n] for x in at], pa.int32()) for n in (0, 1, 2, 4)]
-            yield pa.RecordBatch.from_arrays([*cols, *(b.column(n).take(take) for n in ("rep", "times", "v"))], names=["cell", "i", "j", "role", "rep", "times", "v"])
+                    deal(mine[slot[mine] % nq == q], 0, [(cell, q, j) for j in range(nc)])
+                for j in range(nc):
+                    deal(rows[slot[rows] // 64 % nc == j], 1, [(cell, q, j) for q in range(nq)])
+            columns = list(zip(*at, strict=True)) or [()] * 5
+            types = [pa.int32()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=["cell", "i", "j", "role", "data"])
         if plan is None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(homes), pa.array(guests), pa.array(least)], names=["cell", "homes", "guests", "least"])
 
     return kernel
 
 
-def _products(dim: int, cosine: float):
+def _products(dim: int, kind: str, cosine: float):
     def kernel(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        role, id_, times = (t.column(n).to_numpy() for n in ("role", "rep", "times"))
-        v = t.column("v").combine_chunks()
-        x = vectors(pa.concat_arrays(v.chunks) if isinstance(v, pa.ChunkedArray) else v, dim)
+        role, id_, times, v = [], [], [], []
+        for r, data in zip(t.column("role").to_pylist(), t.column("data").to_pylist(), strict=True):
+            n = int.from_bytes(data[:8], "little")
+            role.append(np.full(n, r))
+            id_.append(np.frombuffer(data, np.int64, n, 8))
+            times.append(np.frombuffer(data, np.int64, n, 8 + 8 * n))
+            v.append(data[8 + 16 * n :])
+        role, id_, times = (np.concatenate(y) for y in (role, id_, times))
+        x = vectors(v, dim, kind)
         q, o = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         xq, xo = x[q], x[o]
         low = xo.astype(np.float32).T.copy()
@@ -158,24 +171,27 @@ def _products(dim: int, cosine: float):
 def near_duplicates(embeddings: DataFrame, *, cosine: float = 0.95, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of embeddings(vec_id, embedding)."""
     spark = c.prepare(embeddings.sparkSession)
-    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    rows = c.stored(rows.mapInArrow(_pack, "vec_id long, v binary"), "vectors").withColumn("key", F.xxhash64("v"))
+    # Values that fit into 32 bits are kept so.
+    small = embeddings.schema["embedding"].dataType.elementType.simpleString() in ("float", "tinyint", "smallint")
+    kind, width = ("float32", 4) if small else ("float64", 8)
+    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if small else "array<double>"))
+    rows = c.stored(c.map_arrow(rows, _pack(kind), "vec_id long, v binary"), "vectors").withColumn("key", F.xxhash64("v"))
     # A vector's representative is named by its smallest vec_id; copies are those of equal bytes.
     reps = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"), F.first("key").alias("key"))
     reps = c.stored(reps.where("rep is not null"), "distinct")
-    dims = {r[0] // 8: r[1] for r in reps.groupBy(F.octet_length("v")).agg(F.count("*")).collect()}
+    dims = {r[0] // width: r[1] for r in reps.groupBy(F.octet_length("v")).agg(F.count("*")).collect()}
     found = spark.createDataFrame([], "rep long, root long, links long")
     for dim, n in dims.items():
-        mine = reps.where(F.octet_length("v") == 8 * dim)
-        taken = mine.orderBy("key").limit(sample).select("v").toArrow().column(0).combine_chunks()
-        centers = spherical_kmeans(vectors(taken, dim), max(1, min(CELLS, n // CELL)))
-        told = mine.mapInArrow(_cells(dim, centers, cosine, None, None), "cell long, homes long, guests long, least double")
+        mine = reps.where(F.octet_length("v") == width * dim)
+        taken = [bytes(r[0]) for r in mine.orderBy("key").limit(sample).select("v").collect()]
+        centers = spherical_kmeans(vectors(taken, dim, kind), max(1, min(CELLS, n // CELL)))
+        told = c.map_arrow(mine, _cells(dim, kind, centers, cosine, None, None), "cell long, homes long, guests long, least double")
         told = {r[0]: r for r in told.groupBy("cell").agg(F.sum("homes"), F.sum("guests"), F.min("least")).collect()}
         k = range(len(centers))
         radius = np.array([np.arccos(np.clip(told[i][3], -1, 1)) if told[i][1] else -np.pi for i in k])
         plan = {"homes": [-(-told[i][1] // HOMES) for i in k], "others": [max(1, -(-(told[i][1] + told[i][2]) // OTHERS)) if told[i][1] else 0 for i in k]}
-        dealt = mine.mapInArrow(_cells(dim, centers, cosine, radius, plan), "cell int, i int, j int, role int, rep long, times long, v binary")
-        found = found.union(dealt.groupBy("cell", "i", "j").applyInArrow(_products(dim, cosine), "rep long, root long, links long"))
+        dealt = c.map_arrow(mine, _cells(dim, kind, centers, cosine, radius, plan), "cell int, i int, j int, role int, data binary")
+        found = found.union(dealt.groupBy("cell", "i", "j").applyInArrow(c.by_group(_products(dim, kind, cosine)), "rep long, root long, links long"))
     found = c.stored(found, "links")
     reached = c.components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -5,7 +5,8 @@
 2. Each class sends its prefix, the rarest shingles that a partner must share, to buckets of shingles.  There the
    lists are laid out by set size and cut into blocks wherever the next size is too large for a link; sets of one block
    go to one cluster.  A link's two sets always share a prefix shingle in one block, so no link leaves its cluster.
-3. Texts of a cluster meet in blocks of at most BLOCK sets.  A set's overlaps with all indexed sets come from the lists
+   The sets of clusters then do this once more among themselves, with counts of shingles taken cluster by cluster.
+3. Texts of a cluster meet in blocks of about BLOCK shingles.  A set's overlaps with all indexed sets come from the lists
    of its shingles, of which only the block of fitting sizes is read; for a set much like one already answered, from
    that set's overlaps, less the lists it lacks, plus the lists it adds.  Links are counted, and leave as a forest.
 4. Components of the links, with copies counted by the size of their class.
@@ -22,17 +23,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm import common as c
 
 #: So many frequent shingles are put last in the order of prefixes.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 20
 #: Shingles held before a task counts them, and the count from which it reports one.
-HELD, REPORTED = 4_000_000, 4
-#: Prefix shingles in a bucket; sets in a block; overlap vectors kept for reuse.
-BUCKET, BLOCK, ANSWERS = 500_000, 2048, 16
+HELD, REPORTED = 4_000_000, 2
+#: Prefix shingles in a bucket; shingles in a block of sets, and of small clusters in a task; overlap vectors kept for reuse.
+BUCKET, BLOCK, TOGETHER, ANSWERS = 500_000, 2_000_000, 500_000, 16
+#: Entries of lists read at once.
+EXPANDED = 1 << 20
 
 _ODD = c.mix(np.arange(11, 75, dtype=np.uint64)) | np.uint64(1)
 
@@ -57,6 +61,18 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
                 yield np.empty(0, dtype=np.uint64)
 
 
+def _zip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, packed one by one: they are about to be shuffled."""
+    for b in batches:
+        data, at = c.utf8(b.column(1))
+        packed = [zstandard.compress(data[x:y].tobytes(), 3) for x, y in zip(at[:-1], at[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["doc_id", "text"])
+
+
+def unzipped(column) -> pa.Array:
+    return pa.array([zstandard.decompress(x.as_py(), max_output_size=1 << 31) for x in column], pa.large_binary())
+
+
 def set_key(s: np.ndarray) -> int:
     """A hash of a set as a signed long."""
     with np.errstate(over="ignore"):
@@ -64,24 +80,27 @@ def set_key(s: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-def _profile(size: int):
+def _profile(size: int, packed: bool = False):
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def counts() -> pa.RecordBatch:
-            u, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, int))
-            u, n = u[n >= REPORTED].view(np.int64), n[n >= REPORTED]
+            u = np.concatenate(held) if held else np.empty(0, np.uint32)
+            u.sort()
+            at = np.flatnonzero(np.concatenate([u[:1] == u[:1], u[1:] != u[:-1]]))
+            n = np.diff(at, append=len(u))
+            u, n = u[at[n >= REPORTED]].astype(np.int64), n[n >= REPORTED]
             none = pa.nulls(len(u), pa.int64())
             held.clear()
             return pa.RecordBatch.from_arrays([none, none, none, pa.array(u), pa.array(n, pa.int64())], names=["doc_id", "n", "key", "shingle", "times"])
 
         for b in batches:
             n, key = [], []
-            for s in shingle_sets(b.column(1), size):
+            for s in shingle_sets(unzipped(b.column(1)) if packed else b.column(1), size):
                 n.append(len(s))
                 key.append(set_key(s) if len(s) else None)
-                held.append(s)
-                if sum(map(len, held[-1:])) and len(held) % 512 == 0 and sum(map(len, held)) > HELD:
+                held.append((s >> np.uint64(32)).astype(np.uint32))
+                if len(held) % 512 == 0 and sum(map(len, held)) > HELD:
                     yield counts()
             none = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), none, none], names=["doc_id", "n", "key", "shingle", "times"])
@@ -95,8 +114,8 @@ def least_overlap(a, b, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-def _prefixes(size: int, percent: int, frequent: np.ndarray, buckets: int):
-    """frequent: sorted shingles; their places say nothing of counts, which come second."""
+def _prefixes(size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], buckets: int, packed: bool = False):
+    """frequent: the upper halves of frequent shingles, sorted, and their counts."""
     values, ranks = frequent
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,21 +127,26 @@ def _prefixes(size: int, percent: int, frequent: np.ndarray, buckets: int):
             nonlocal total
             if not parts:
                 return
-            token = np.concatenate([p[0] for p in parts])
-            lens = np.array([len(p[0]) for p in parts])
-            key = np.repeat(np.array([p[1] for p in parts], dtype=np.int64), lens)
-            n = np.repeat(np.array([p[2] for p in parts], dtype=np.int64), lens).astype(np.uint32)
-            bucket = (c.mix(token) >> np.uint64(32)) % np.uint64(buckets)
-            o = np.argsort(bucket, kind="stable")
+            token = c.mix(np.concatenate([p[0] for p in parts]))
+            owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+            key = np.array([p[1] for p in parts], dtype=np.int64)
+            n = np.array([p[2] for p in parts], dtype=np.uint32)
+            bucket = (token >> np.uint64(32)) % np.uint64(buckets)
+            # Within a bucket 40 bits tell shingles apart; two that are taken for one only make a cluster larger.
+            token &= np.uint64((1 << 40) - 1)
+            o = np.lexsort((token, bucket))
             ids, first = np.unique(bucket[o], return_index=True)
-            cut = [*first.tolist(), len(o)]
-            rows = [b"".join(x[o[i:j]].tobytes() for x in (token, key, n)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            rows = []
+            for at in np.split(o, first[1:]):
+                sets, of = np.unique(owner[at], return_inverse=True)
+                head = c.pack(key[sets], n[sets])
+                rows.append(len(head).to_bytes(8, "little") + head + c.pack(np.diff(token[at], prepend=np.uint64(0)), of.reshape(-1).astype(np.uint32)))
             parts.clear()
             total = 0
             yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(rows, pa.binary())], names=["bucket", "postings"])
 
         for b in batches:
-            for s in shingle_sets(b.column(0), size):
+            for s in shingle_sets(unzipped(b.column(0)) if packed else b.column(0), size):
                 if not len(s) or (k := set_key(s)) in seen:
                     continue
                 seen.add(k)
@@ -130,9 +154,10 @@ def _prefixes(size: int, percent: int, frequent: np.ndarray, buckets: int):
                     seen.clear()
                 keep = len(s) - -(-percent * len(s) // 100) + 1
                 if len(values):
-                    at = np.searchsorted(values, s)
+                    upper = (s >> np.uint64(32)).astype(np.uint32)
+                    at = np.searchsorted(values, upper)
                     common = at < len(values)
-                    common[common] = values[at[common]] == s[common]
+                    common[common] = values[at[common]] == upper[common]
                     if common.any():
                         late = s[common][np.argsort(ranks[at[common]], kind="stable")]
                         s = np.concatenate([s[~common], late])
@@ -153,10 +178,12 @@ def _stars(percent: int):
         rows = t.column("postings").to_pylist()
         token, key, n = [], [], []
         for r in rows:
-            m = len(r) // 20
-            token.append(np.frombuffer(r, np.uint64, m))
-            key.append(np.frombuffer(r, np.int64, m, 8 * m))
-            n.append(np.frombuffer(r, np.uint32, m, 16 * m))
+            size = int.from_bytes(r[:8], "little")
+            keys, sizes = c.unpack(r[8 : 8 + size], np.int64, np.uint32)
+            gaps, of = c.unpack(r[8 + size :], np.uint64, np.uint32)
+            token.append(np.cumsum(gaps, dtype=np.uint64))
+            key.append(keys[of])
+            n.append(sizes[of])
         token, key, n = np.concatenate(token), np.concatenate(key), np.concatenate(n).astype(np.int64)
         o = np.argsort(token, kind="stable")
         same = np.zeros(len(o) + 1, dtype=bool)
@@ -180,20 +207,25 @@ def overlaps_join(queries: list[np.ndarray], indexed: list[np.ndarray], percent:
     by_size = np.argsort(sizes, kind="stable")
     sizes = sizes[by_size]
     flat = np.concatenate([indexed[i] for i in by_size]) if len(indexed) else np.empty(0, np.uint64)
-    tokens, at = np.unique(flat, return_inverse=True)
-    order = np.argsort(at.reshape(-1), kind="stable")
-    lists = np.repeat(np.arange(len(by_size)), sizes)[order]
-    starts = np.searchsorted(at.reshape(-1)[order], np.arange(len(tokens) + 1))
+    order = np.argsort(flat)
+    lists = np.repeat(np.arange(len(by_size), dtype=np.int32), sizes)[order]
+    flat = flat[order]
+    del order
+    starts = np.flatnonzero(np.concatenate([flat[:1] == flat[:1], flat[1:] != flat[:-1]]))
+    tokens, starts = flat[starts], np.append(starts, len(flat))
+    del flat
 
     def counts(ids: np.ndarray, lo: int, hi: int) -> np.ndarray:
         """How often places lo to hi stand in these lists; the blocks outside are skipped."""
         a, b = starts[ids], starts[ids + 1]
-        lens = b - a
-        if not lens.sum():
-            return np.zeros(hi - lo, dtype=np.int64)
-        flat = np.repeat(a - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
-        got = lists[flat]
-        return np.bincount(got[(got >= lo) & (got < hi)] - lo, minlength=hi - lo)
+        upto = np.concatenate([[0], np.cumsum(b - a)])
+        out, i = np.zeros(hi - lo, dtype=np.int64), 0
+        while i < len(ids):
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + EXPANDED, "right")) - 1)
+            got = lists[np.repeat(a[i:j] - (upto[i:j] - upto[i]), b[i:j] - a[i:j]) + np.arange(upto[j] - upto[i])]
+            out += np.bincount(got[(got >= lo) & (got < hi)] - lo, minlength=hi - lo)
+            i = j
+        return out
 
     answers: list[tuple[np.ndarray, int, int, np.ndarray]] = []
     for i in sorted(range(len(queries)), key=lambda i: len(queries[i])):
@@ -237,10 +269,17 @@ def _links(size: int, percent: int):
     """One task: queries (role 0 or 2) against indexed sets (role 1 or 2)."""
 
     def kernel(t: pa.Table) -> pa.Table:
-        role, key, times = (t.column(x).to_numpy() for x in ("role", "key", "times"))
-        texts = t.column("text").combine_chunks()
-        texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
-        sets = list(shingle_sets(texts, size))
+        role, key, times = (t.column(x).to_numpy().copy() for x in ("role", "key", "times"))
+        sets = list(shingle_sets(unzipped(t.column("text")), size))
+        # Rows of one doc_id may differ in text, or be the same: of each class and role one row stays.
+        seen: set[tuple[int, int]] = set()
+        for i, (k, r, s) in enumerate(zip(key.tolist(), role.tolist(), sets, strict=True)):
+            if (k, r) in seen or not len(s) or set_key(s) != k:
+                role[i] = 9
+            else:
+                seen.add((k, r))
+        keep = np.flatnonzero(role != 9)
+        sets, role, key, times = [sets[i] for i in keep], role[keep], key[keep], times[keep]
         q, x = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
         links = np.zeros(len(sets), dtype=np.int64)
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -264,6 +303,34 @@ def _links(size: int, percent: int):
     return kernel
 
 
+PROFILE = "doc_id long, n long, key long, shingle long, times long"
+
+
+def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(upper halves of the most frequent shingles, sorted, their counts): at most FREQUENT, which only orders prefixes."""
+    rows = c.stored(profile.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")), "frequent")
+    # The most frequent, and of the count that overflows the table a part by hash.
+    room, keep = FREQUENT, F.lit(False)
+    for times, n in sorted(rows.groupBy(F.least("times", F.lit(1 << 13))).agg(F.count("*")).collect(), reverse=True):
+        keep = F.col("times") >= times if n <= room else keep | ((F.col("times") == times) & (F.col("shingle") < (room << 32) // n))
+        if n > room:
+            break
+        room -= n
+    rows = rows.where(keep).toArrow()
+    values = rows.column("shingle").to_numpy().astype(np.uint32)
+    o = np.argsort(values)
+    return values[o], rows.column("times").to_numpy()[o].astype(np.int32)
+
+
+def _clusters(texts: DataFrame, profile: DataFrame, size: int, percent: int, packed: bool) -> DataFrame:
+    """(key, cluster) of the classes that share a prefix shingle with one of a size that fits."""
+    total = profile.agg(F.sum("n")).first()[0] or 0
+    buckets = max(c.partitions(texts.sparkSession), total * (100 - percent) // 100 // BUCKET + 1)
+    postings = c.map_arrow(texts, _prefixes(size, percent, _frequent(profile), buckets, packed), "bucket long, postings binary")
+    stars = postings.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(c.by_group(_stars(percent)), "a long, b long")
+    return c.stored(c.components(stars).withColumnRenamed("node", "key").withColumnRenamed("root", "cluster"), "clusters")
+
+
 def jaccard_join(docs: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row of docs(doc_id, text).
 
@@ -272,32 +339,32 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, percent: int = 75) -> DataFr
     """
     spark = c.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = c.stored(docs.mapInArrow(_profile(size), "doc_id long, n long, key long, shingle long, times long"), "sets")
+    profile = c.stored(c.map_arrow(docs, _profile(size), PROFILE), "sets")
     sets = profile.where("n is not null").select("doc_id", "n", "key")
-    frequent = profile.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(FREQUENT).collect()
-    values = np.array([r[0] for r in frequent], dtype=np.int64).view(np.uint64)
-    o = np.argsort(values)
-    ranked = (values[o], np.array([r[1] for r in frequent], dtype=np.int64)[o])
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    buckets = max(c.partitions(spark), total * (100 - percent) // 100 // BUCKET + 1)
-
-    postings = docs.select("text").mapInArrow(_prefixes(size, percent, ranked, buckets), "bucket long, postings binary")
-    stars = postings.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_stars(percent), "a long, b long")
-    clusters = c.stored(c.components(stars).withColumnRenamed("node", "key").withColumnRenamed("root", "cluster"), "clusters")
+    clusters = _clusters(docs.select("text"), profile, size, percent, packed=False)
 
-    classes = sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"))
+    # Texts of classes in clusters, laid out by cluster: there, counts of shingles are nearly exact, and prefixes tell more.
+    classes = sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"), F.first("n").alias("n"))
     members = classes.where("doc_id is not null").join(clusters, "key")
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = c.stored(members.join(blocks, "cluster"), "members")
-    tasks = max(c.partitions(spark), members.count() // (BLOCK // 2) + 1)
+    zipped = c.map_arrow(docs, _zip, "doc_id long, text binary")
+    # Texts are streamed past a hash table of the members' ids, not sorted.
+    near = zipped.join(members.hint("shuffle_hash"), "doc_id").select("key", "times", "n", "cluster", "text")
+    near = c.stored(near.repartitionByRange(c.partitions(spark), "cluster", "key").drop("cluster"), "near")
+    again = c.stored(c.map_arrow(near.select("key", "text"), _profile(size, True), PROFILE), "sets")
+    clusters = _clusters(near.select("text"), again, size, percent, packed=True)
+
+    clusters = clusters.join(classes.select("key", "n"), "key")
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    members = c.stored(clusters.join(blocks, "cluster"), "members")
+    tasks = max(c.partitions(spark), (members.agg(F.sum("n")).first()[0] or 0) // TOGETHER + 1)
     mine = F.pmod(F.xxhash64("key", F.lit(1)), "blocks").cast("int")
-    rows = members.join(docs, "doc_id").dropDuplicates(["key"])
+    rows = near.drop("n").join(members.hint("shuffle_hash"), "key")
     small = F.struct(F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("home"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(2).alias("role"))
     as_query = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.col("cluster").alias("home"), mine.alias("i"), j.alias("j"), F.when(j == mine, 2).otherwise(0).alias("role")))
     as_indexed = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != mine), lambda i: F.struct(F.col("cluster").alias("home"), i.alias("i"), mine.alias("j"), F.lit(1).alias("role")))
     rows = rows.withColumn("at", F.explode(F.when(F.col("blocks") == 1, F.array(small)).otherwise(F.concat(as_query, as_indexed))))
     rows = rows.select("at.home", "at.i", "at.j", "at.role", "key", "times", "text")
-    found = c.stored(rows.groupBy("home", "i", "j").applyInArrow(_links(size, percent), "key long, root long, links long"), "links")
+    found = c.stored(rows.groupBy("home", "i", "j").applyInArrow(c.by_group(_links(size, percent)), "key long, root long, links long"), "links")
 
     reached = c.components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))

@@ -106,7 +106,7 @@ def mix(docs: DataFrame, *, most: int = 3) -> DataFrame:
 def mixed_rows(docs: DataFrame, *, most: int = 3) -> DataFrame:
     """docs with each row as often as the mix takes its document."""
     taken = mix(docs, most=most).where("copies > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("mixed_copies"))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    rows = docs.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("mixed_id")))
     return rows.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), F.col("mixed_copies").cast("int")))).select(*[docs[x] for x in docs.columns])
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from logweave.llm import common as c
 
 #: Longest word kept, and words kept, by a worker's memory of tokenized words.
-WORD_BYTES, WORDS = 48, 1_500_000
+WORD_BYTES, WORDS = 48, 1_000_000
 
 #: ASCII punctuation that ends a run of letters for the tokenizer; not the apostrophe, which may begin a suffix.
 TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -288,10 +288,10 @@ def pack(docs: DataFrame, *, capacity: int = 2048, path: str | None = None, keep
     """
     path = path or default_tokenizer()
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = c.stored(docs.mapInArrow(_pieces(capacity, path, keep_ids), PIECE), "pieces")
+    pieces = c.stored(c.map_arrow(docs, _pieces(capacity, path, keep_ids), PIECE), "pieces")
     counts = c.stored(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "lengths")
     plan = layout({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     ranked = pieces.join(ahead, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", "ids", (F.col("ahead") + F.col("place")).alias("rank"))
-    return ranked.mapInArrow(_place(plan), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long")
+    return c.map_arrow(ranked, _place(plan), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long")

@@ -40,22 +40,6 @@ GRAM, CHUNK, STRETCHES, HASHES = 24, 4 << 20, 1 << 17, 500_000
 NULL_ID = np.iinfo(np.int64).max
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, byte planes apart, which compress well."""
-    n = len(arrays[0])
-    return zstandard.compress(n.to_bytes(8, "little") + b"".join(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(n, -1).T).tobytes() for x in arrays), 1) if n else zstandard.compress((0).to_bytes(8, "little"), 1)
-
-
-def unpack(data: bytes, *types) -> list[np.ndarray]:
-    data = zstandard.decompress(data, max_output_size=1 << 31)
-    n, at, out = int.from_bytes(data[:8], "little"), 8, []
-    for t in types:
-        size = np.dtype(t).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(t).reshape(n))
-        at += n * size
-    return out
-
-
 def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (doc_id, text, carried columns), gathered; the carried columns travel as an Arrow stream."""
     part, at = TaskContext.get().partitionId(), 0
@@ -167,7 +151,7 @@ def _hashes(length: int, buckets: int):
                 first = np.flatnonzero(first_of_chunk(gram, h))
                 row = np.searchsorted(at, a[first], "right") - 1
                 parts = by_bucket(gram[first], buckets)
-                rows = [pack(gram[first[i]], h[first[i]], ids[row[i]], a[first[i]].astype(np.uint32), before[first[i]], after[first[i]]) for _, i in parts]
+                rows = [c.pack(gram[first[i]], h[first[i]], ids[row[i]], a[first[i]].astype(np.uint32), before[first[i]], after[first[i]]) for _, i in parts]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in parts], pa.int64()), pa.array([t.column("chunk")[0].as_py()] * len(parts), pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "chunk", "hashes"])
 
     return kernel
@@ -176,7 +160,7 @@ def _hashes(length: int, buckets: int):
 def _statuses(t: pa.Table) -> pa.Table:
     """For each stretch of a bucket: 0 unique, 1 repeated as a whole, 2 the first of a kind that may share a window with another kind."""
     chunk = t.column("chunk").to_numpy()
-    parts = [unpack(x.as_py(), np.uint64, np.uint64, np.int64, np.uint32, np.uint32, np.uint32) for x in t.column("hashes")]
+    parts = [c.unpack(x.as_py(), np.uint64, np.uint64, np.int64, np.uint32, np.uint32, np.uint32) for x in t.column("hashes")]
     lens = np.array([len(p[0]) for p in parts])
     gram, h, id_, a, before, after = (np.concatenate([p[k] for p in parts]) for k in range(6))
     order = np.lexsort((a, np.repeat(chunk, lens), id_, h, gram))
@@ -192,7 +176,7 @@ def _statuses(t: pa.Table) -> pa.Table:
     status[kinds] = np.where(shared, 2, 0)
     out = np.split(status, np.cumsum(lens)[:-1])
     keep = [i for i, s in enumerate(out) if s.any()]
-    return pa.table({"chunk": pa.array(chunk[keep], pa.int64()), "bucket": pa.array([t.column("bucket")[0].as_py()] * len(keep), pa.int64()), "status": pa.array([pack(out[i]) for i in keep], pa.binary())})
+    return pa.table({"chunk": pa.array(chunk[keep], pa.int64()), "bucket": pa.array([t.column("bucket")[0].as_py()] * len(keep), pa.int64()), "status": pa.array([c.pack(out[i]) for i in keep], pa.binary())})
 
 
 def _resolve(length: int, buckets: int, groups: int):
@@ -211,18 +195,18 @@ def _resolve(length: int, buckets: int, groups: int):
             where = np.flatnonzero(first)
             for bucket, i in by_bucket(gram[where], buckets):
                 if bucket in told:
-                    status[where[i]] = unpack(told[bucket], np.uint8)[0]
+                    status[where[i]] = c.unpack(told[bucket], np.uint8)[0]
             whole = status == 1
             if whole.any():
                 out["kind"].append(0)
                 out["place"].append(chunk)
-                out["data"].append(pack(*merged(a[whole], b[whole] + length)))
+                out["data"].append(c.pack(*merged(a[whole], b[whole] + length)))
             where = np.flatnonzero(status == 2)
             row = np.searchsorted(at, a[where], "right") - 1
             for group, i in by_bucket(gram[where], groups):
                 w = where[i]
                 text = b"".join(data[x:y].tobytes() for x, y in zip(a[w], b[w] + length, strict=True))
-                head = pack(ids[row[i]], a[w], (b[w] - a[w]).astype(np.uint32))
+                head = c.pack(ids[row[i]], a[w], (b[w] - a[w]).astype(np.uint32))
                 out["kind"].append(1)
                 out["place"].append(group)
                 out["data"].append(len(head).to_bytes(8, "little") + chunk.to_bytes(8, "little") + head + zstandard.compress(text, 1))
@@ -294,7 +278,7 @@ def _compare(length: int):
         for x in t.column("data"):
             x = x.as_py()
             size = int.from_bytes(x[:8], "little")
-            i, start, run = unpack(x[16 : 16 + size], np.int64, np.int64, np.uint32)
+            i, start, run = c.unpack(x[16 : 16 + size], np.int64, np.int64, np.uint32)
             body = zstandard.decompress(x[16 + size :], max_output_size=1 << 31)
             lens = run.astype(np.int64) + length
             cut = np.concatenate([[0], np.cumsum(lens)])
@@ -325,7 +309,7 @@ def _compare(length: int):
         for k in np.unique(chunk[who]):
             mine = begin[chunk[who] == k]
             out["place"].append(int(k))
-            out["data"].append(pack(*merged(mine, mine + length)))
+            out["data"].append(c.pack(*merged(mine, mine + length)))
         return pa.table({"place": pa.array(out["place"], pa.int64()), "data": pa.array(out["data"], pa.binary())})
 
     return kernel
@@ -337,7 +321,7 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     ids, at, data = chunk_of(left)
     edge = np.zeros(len(data) + 1, dtype=np.int32)
     for x in right.column("data"):
-        a, b = unpack(x.as_py(), np.int64, np.int64)
+        a, b = c.unpack(x.as_py(), np.int64, np.int64)
         np.add.at(edge, a, 1)
         np.add.at(edge, b, -1)
     gone = np.cumsum(edge[:-1]) > 0
@@ -379,18 +363,18 @@ def _ranges(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     least = c.partitions(spark)
     name = f"logweave_chunks_{uuid.uuid4().hex}"
     # Bucketed, so that the two later passes over the bytes read them where they are and shuffle small columns only.
-    rows = docs.mapInArrow(_chunks, "chunk long, ids binary, lengths binary, bytes binary, carried binary")
+    rows = c.map_arrow(docs, _chunks, "chunk long, ids binary, lengths binary, bytes binary, carried binary")
     rows.write.format("parquet").option("compression", "zstd").bucketBy(least, "chunk").saveAsTable(name)
     chunks = spark.table(name)
     size = chunks.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     buckets = max(least, size * 2 // (length - GRAM + 2) // HASHES + 1)
     bare = chunks.drop("carried")
-    hashes = bare.mapInArrow(_hashes(length, buckets), "bucket long, chunk long, hashes binary")
-    statuses = hashes.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_statuses, "chunk long, bucket long, status binary")
+    hashes = c.map_arrow(bare, _hashes(length, buckets), "bucket long, chunk long, hashes binary")
+    statuses = hashes.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(c.by_group(_statuses), "chunk long, bucket long, status binary")
     groups = max(least, size // 16 // STRETCHES + 1)  # arrays of so few bytes stay in a core's cache
     resolve = _resolve(length, buckets, groups)
     told = c.stored(bare.groupBy("chunk").cogroup(statuses.groupBy("chunk")).applyInArrow(resolve, "kind int, place long, data binary"), "ranges")
-    compared = told.where("kind = 1").repartition(groups, "place").groupBy("place").applyInArrow(_compare(length), "place long, data binary")
+    compared = told.where("kind = 1").repartition(groups, "place").groupBy("place").applyInArrow(c.by_group(_compare(length)), "place long, data binary")
     return chunks, told.where("kind = 0").select("place", "data").union(compared)
 
 

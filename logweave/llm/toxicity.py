@@ -28,7 +28,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from logweave.llm import common as c
 
 #: Labelled rows read, lexicon entries kept, words a worker remembers, words between a hit and a second person.
-LABELLED, ENTRIES, WORDS, NEAR = 20_000, 20_000, 500_000, 4
+LABELLED, ENTRIES, WORDS, NEAR = 20_000, 20_000, 200_000, 4
 TREES, DEPTH, BINS, RATE = 60, 3, 32, 0.2
 
 # Second persons of some languages, and look-alike characters.
@@ -62,7 +62,7 @@ def entries(core: str) -> Iterator[str]:
                 yield core[:k] + "*"
 
 
-@lru_cache(1 << 18)
+@lru_cache(1 << 15)
 def _entries_of(token: str) -> tuple[str, ...]:
     return tuple(entries(forms(token)[0]))
 
@@ -275,13 +275,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED) -> dict
     model = {"share": toxic / n if n else 0.0, "weights": {}, "trees": None, "calibration": None}
     if not 0 < toxic < n:
         return model
-    counts = rows.mapInArrow(_count, "entry string, fold long, n long, toxic long").groupBy("entry").agg(
+    counts = c.map_arrow(rows, _count, "entry string, fold long, n long, toxic long").groupBy("entry").agg(
         F.sum(F.when(F.col("fold") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("fold") == 0, F.col("toxic")).otherwise(0)).alias("t0"), F.sum("n").alias("n"), F.sum("toxic").alias("toxic")
     )
     counts = counts.where(f"toxic >= 3 and toxic * {n - toxic} > 4 * (n - toxic) * {toxic}").orderBy(F.desc("toxic"), "n", "entry").limit(ENTRIES).collect()
     n0, t0 = sizes.get(0, (0, 0))
     halves = [lexicon([(r[0], r[1], r[2]) for r in counts], n0, t0), lexicon([(r[0], r[3] - r[1], r[4] - r[2]) for r in counts], n - n0, toxic - t0), lexicon([(r[0], r[3], r[4]) for r in counts], n, toxic)]
-    got = sorted(tuple(r) for r in rows.mapInArrow(_train_features(halves), "doc_id long, toxic long, fold long, x array<double>").collect())
+    got = sorted(tuple(r) for r in c.map_arrow(rows, _train_features(halves), "doc_id long, toxic long, fold long, x array<double>").collect())
     y, f, x = np.array([r[1] for r in got], dtype=float), np.array([r[2] for r in got]), np.array([r[3] for r in got])[:, :FEATURES]
     other = np.empty(len(y))
     for k in (0, 1):
@@ -306,7 +306,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with a last column toxicity_score_: 0 to 1, higher where a toxic label is likelier."""
     c.prepare(docs.sparkSession)
     schema = StructType([*docs.schema.fields, StructField("toxicity_score_", DoubleType())])
-    return docs.mapInArrow(_score(model, docs.columns.index(text)), schema)
+    return c.map_arrow(docs, _score(model, docs.columns.index(text)), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:

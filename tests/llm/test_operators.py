@@ -195,7 +195,7 @@ def test_jaccard(spark, docs, odd_docs, no_docs):
 
 
 def test_jaccard_blocks_and_answers(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 20)
+    monkeypatch.setattr(jaccard, "BLOCK", 2000)
     rnd = random.Random(5)
     base = [f"w{i}" for i in range(90)]
     rows = [(k, " ".join(x if rnd.random() > rnd.choice((0.005, 0.03)) else f"z{rnd.randrange(10**6)}" for x in base)) for k in range(150)]
