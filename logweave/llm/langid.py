@@ -76,7 +76,10 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log likelihoods of trigrams in each) from docs(doc_id, text, lang)."""
-    rows = docs.where("lang is not null").select("doc_id", F.lower("lang").alias("lang"), "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    rows = docs.where("lang is not null and doc_id is not null").select("doc_id", F.lower("lang").alias("lang"), "text")
+    # Only ids are sorted and broadcast, at most LABELLED; texts stay where they are.
+    wanted = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    rows = rows.join(F.broadcast(wanted), "doc_id")
     total: dict[str, np.ndarray] = {}
     for lang, counts in c.map_arrow(rows.select("lang", "text"), _counts, "lang string, counts binary").collect():
         x = np.frombuffer(bytes(counts), np.float64)
