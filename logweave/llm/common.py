@@ -242,6 +242,16 @@ def components(edges: DataFrame) -> DataFrame:
     return low.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+#: What modules keep between tasks in a worker: by module, how to let it go.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def only(module: str) -> None:
+    """Let go of what other modules than this one keep."""
+    for name in [x for x in KEPT if x != module]:
+        KEPT.pop(name)()
+
+
 def release() -> None:
     """Give freed memory back to the machine: workers live on between stages, beside each other and a JVM."""
     pa.default_memory_pool().release_unused()
@@ -256,6 +266,7 @@ def map_arrow(df: DataFrame, kernel: Callable, schema: str | StructType) -> Data
     prepare(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(kernel.__module__)
         try:
             yield from kernel(batches)
         finally:
@@ -268,6 +279,7 @@ def by_group(kernel: Callable) -> Callable:
     """kernel of a table, with freed memory given back after large groups."""
 
     def run(t: pa.Table) -> pa.Table:
+        only(kernel.__module__)
         large = t.nbytes > 1 << 18
         out = kernel(t)
         if large:

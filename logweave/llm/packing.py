@@ -115,6 +115,7 @@ class Words:
 def tokenizer(path: str) -> Words:
     if path not in _loaded:
         _loaded[path] = Words(path)
+    c.KEPT[__name__] = _loaded.clear
     return _loaded[path]
 
 
