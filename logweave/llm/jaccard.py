@@ -1,17 +1,19 @@
 """Exact Jaccard self join of word n-gram sets with set-relation skipping.
 
 1. Every text becomes the set of hashes of its word n-grams; equal sets become one class, whose id is a 64-bit hash of
-   the set.  One pass counts the frequent shingles, which only orders them: any order gives the same result.
+   the set.  Chunks of sets send their shingles to buckets, which count each over all chunks and send the counts back.
+   Counts only order shingles: any order gives the same result.
 2. Each class sends its prefix, the rarest shingles that a partner must share, to buckets of shingles.  There the
    lists are laid out by set size and cut into blocks wherever the next size is too large for a link; sets of one block
    go to one cluster.  A link's two sets always share a prefix shingle in one block, so no link leaves its cluster.
-   The sets of clusters then do this once more among themselves, with counts of shingles taken cluster by cluster.
+   A shingle of one class alone goes nowhere, so a class with too few shared shingles is in no cluster.
+   One set of each class in a cluster then does both steps once more, with counts that no copies raise.
 3. Texts of a cluster meet in blocks of about BLOCK shingles.  A set's overlaps with all indexed sets come from the lists
    of its shingles, of which only the block of fitting sizes is read; for a set much like one already answered, from
    that set's overlaps, less the lists it lacks, plus the lists it adds.  Links are counted, and leave as a forest.
 4. Components of the links, with copies counted by the size of their class.
 
-Memory: a task holds one bucket of shingles or two blocks of sets.  A cluster of any size is cut into pairs of blocks.
+Memory: a task holds a chunk of sets, one bucket of shingles or two blocks of sets.  A cluster of any size is cut into pairs of blocks.
 Shingles and classes are told apart by 64-bit hashes.  Null and blank texts have the empty set and link with nothing;
 rows that share a doc_id are one node of the links; rows of null doc_id are counted as partners and get a null
 component; other columns of the input are ignored.
@@ -19,6 +21,7 @@ component; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,11 +32,9 @@ from pyspark.sql import functions as F
 
 from logweave.llm import common as c
 
-#: So many frequent shingles are put last in the order of prefixes.
-FREQUENT = 1 << 20
-#: Shingles held before a task counts them, and the count from which it reports one.
-HELD, REPORTED = 4_000_000, 2
-#: Prefix shingles in a bucket; shingles in a block of sets, and of small clusters in a task; overlap vectors kept for reuse.
+#: Shingles in a chunk of sets.
+HELD = 2_000_000
+#: Shingles in a bucket; shingles in a block of sets, and of small clusters in a task; overlap vectors kept for reuse.
 BUCKET, BLOCK, TOGETHER, ANSWERS = 500_000, 2_000_000, 500_000, 16
 #: Entries of lists read at once.
 EXPANDED = 1 << 20
@@ -80,31 +81,91 @@ def set_key(s: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-def _profile(size: int, packed: bool = False):
+def edges(buckets: int, bits: int) -> np.ndarray:
+    """Where ranges of tokens begin and end that part a space of so many bits into buckets."""
+    return np.array([-(-(i << bits) // buckets) for i in range(buckets + 1)], dtype=np.uint64)
+
+
+def _joined(head: bytes, tail: bytes) -> bytes:
+    return len(head).to_bytes(8, "little") + head + tail
+
+
+def _parted(row: bytes) -> tuple[bytes, bytes]:
+    n = int.from_bytes(row[:8], "little")
+    return row[8 : 8 + n], row[8 + n :]
+
+
+def _chunks(size: int, bits: int, cuts: np.ndarray, packed: bool = False):
+    """Each row's set size and class; of each chunk of sets, its tokens by bucket, and (bucket -1) whose they are."""
+
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def counts() -> pa.RecordBatch:
-            u = np.concatenate(held) if held else np.empty(0, np.uint32)
-            u.sort()
-            at = np.flatnonzero(np.concatenate([u[:1] == u[:1], u[1:] != u[:-1]]))
-            n = np.diff(at, append=len(u))
-            u, n = u[at[n >= REPORTED]].astype(np.int64), n[n >= REPORTED]
-            none = pa.nulls(len(u), pa.int64())
-            held.clear()
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(u), pa.array(n, pa.int64())], names=["doc_id", "n", "key", "shingle", "times"])
+        sets: list[np.ndarray] = []
+        keys: list[int] = []
+        seen: set[int] = set()
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not sets:
+                return
+            n = np.array([len(s) for s in sets], dtype=np.uint32)
+            token = np.concatenate(sets) >> np.uint64(64 - bits)
+            o = np.argsort(token, kind="stable")
+            token, owner = token[o], np.repeat(np.arange(len(sets), dtype=np.uint32), n)[o]
+            first = np.flatnonzero(np.concatenate([token[:1] == token[:1], token[1:] != token[:-1]]))
+            times = np.diff(first, append=len(token)).astype(np.uint32)
+            token = token[first]
+            # The chunk's number is random: both of its uses read this table.
+            chunk = int.from_bytes(os.urandom(8), "little") >> 1
+            rows, ids = [_joined(c.pack(np.array(keys, dtype=np.int64), n), _joined(c.pack(times), c.pack(owner)))], [-1]
+            at = np.searchsorted(token, cuts)
+            for i in np.flatnonzero(at[1:] > at[:-1]).tolist():
+                x, y = at[i], at[i + 1]
+                rows.append(c.pack(np.diff(token[x:y], prepend=cuts[i]), times[x:y]))
+                ids.append(i)
+            none = pa.nulls(len(rows), pa.int64())
+            sets.clear()
+            keys.clear()
+            seen.clear()
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([chunk] * len(rows), pa.int64()), pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], names=NAMES)
+
+        held = 0
         for b in batches:
             n, key = [], []
             for s in shingle_sets(unzipped(b.column(1)) if packed else b.column(1), size):
                 n.append(len(s))
-                key.append(set_key(s) if len(s) else None)
-                held.append((s >> np.uint64(32)).astype(np.uint32))
-                if len(held) % 512 == 0 and sum(map(len, held)) > HELD:
-                    yield counts()
+                key.append(k := set_key(s) if len(s) else None)
+                if k is not None and k not in seen:
+                    seen.add(k)
+                    sets.append(s)
+                    keys.append(k)
+                    held += len(s)
+                    if held > HELD:
+                        yield from flush()
+                        held = 0
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), none, none], names=["doc_id", "n", "key", "shingle", "times"])
-        yield counts()
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), none, none, pa.nulls(len(n), pa.binary())], names=NAMES)
+        yield from flush()
+
+    return kernel
+
+
+def _counts(cuts: np.ndarray):
+    """A bucket's tokens are counted over all chunks; each chunk hears the counts of its tokens, and which are shared."""
+
+    def kernel(t: pa.Table) -> pa.Table:
+        first = cuts[t.column("bucket")[0].as_py()]
+        lists = [c.unpack(row.as_py(), np.uint64, np.uint32) for row in t.column("data")]
+        token = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in lists])
+        times = np.concatenate([x[1] for x in lists]).astype(np.int64)
+        o = np.argsort(token, kind="stable")
+        run = np.cumsum(np.concatenate([[0], token[o][1:] != token[o][:-1]]))
+        total = np.empty(len(o), dtype=np.uint32)
+        total[o] = np.minimum(np.bincount(run, times[o]), 1 << 31).astype(np.uint32)[run]
+        rows, at = [], 0
+        for x in lists:
+            df, tok = total[at : at + len(x[0])], token[at : at + len(x[0])] + first
+            at += len(x[0])
+            rows.append(_joined(c.pack(df), c.pack(np.diff(tok[df > 1], prepend=first))))
+        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "data": pa.array(rows, pa.binary())})
 
     return kernel
 
@@ -114,59 +175,42 @@ def least_overlap(a, b, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-def _prefixes(size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], buckets: int, packed: bool = False):
-    """frequent: the upper halves of frequent shingles, sorted, and their counts."""
-    values, ranks = frequent
-
-    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        parts: list[tuple] = []
-        total = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal total
-            if not parts:
-                return
-            token = c.mix(np.concatenate([p[0] for p in parts]))
-            owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-            key = np.array([p[1] for p in parts], dtype=np.int64)
-            n = np.array([p[2] for p in parts], dtype=np.uint32)
-            bucket = (token >> np.uint64(32)) % np.uint64(buckets)
-            # Within a bucket 40 bits tell shingles apart; two that are taken for one only make a cluster larger.
-            token &= np.uint64((1 << 40) - 1)
-            o = np.lexsort((token, bucket))
-            ids, first = np.unique(bucket[o], return_index=True)
-            rows = []
-            for at in np.split(o, first[1:]):
-                sets, of = np.unique(owner[at], return_inverse=True)
-                head = c.pack(key[sets], n[sets])
-                rows.append(len(head).to_bytes(8, "little") + head + c.pack(np.diff(token[at], prepend=np.uint64(0)), of.reshape(-1).astype(np.uint32)))
-            parts.clear()
-            total = 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(rows, pa.binary())], names=["bucket", "postings"])
+def _prefixes(percent: int, cuts: np.ndarray):
+    """Of each class of a chunk the shared tokens in its prefix, the rarest first; tokens of one class alone match none."""
 
-        for b in batches:
-            for s in shingle_sets(unzipped(b.column(0)) if packed else b.column(0), size):
-                if not len(s) or (k := set_key(s)) in seen:
-                    continue
-                seen.add(k)
-                if len(seen) > 200_000:
-                    seen.clear()
-                keep = len(s) - -(-percent * len(s) // 100) + 1
-                if len(values):
-                    upper = (s >> np.uint64(32)).astype(np.uint32)
-                    at = np.searchsorted(values, upper)
-                    common = at < len(values)
-                    common[common] = values[at[common]] == upper[common]
-                    if common.any():
-                        late = s[common][np.argsort(ranks[at[common]], kind="stable")]
-                        s = np.concatenate([s[~common], late])
-                n = len(s)
-                parts.append((s[:keep], k, n))
-                total += keep
-                if total > 1_000_000:
-                    yield from flush()
-        yield from flush()
+    def kernel(t: pa.Table) -> pa.Table:
+        o = np.argsort(t.column("bucket").to_numpy())
+        rows = t.column("data")
+        head, tail = _parted(rows[int(o[0])].as_py())
+        key, n = c.unpack(head, np.int64, np.uint32)
+        tail = _parted(tail)
+        times, owner = c.unpack(tail[0], np.uint32)[0], c.unpack(tail[1], np.uint32)[0]
+        buckets = t.column("bucket").to_numpy()[o[1:]]
+        df, shared = [], []
+        for i, bucket in zip(o[1:].tolist(), buckets.tolist(), strict=True):
+            counts, gaps = _parted(rows[i].as_py())
+            df.append(c.unpack(counts, np.uint32)[0])
+            shared.append(np.cumsum(c.unpack(gaps, np.uint64)[0], dtype=np.uint64) + cuts[bucket])
+        df = np.concatenate(df)
+        token = np.zeros(len(df), dtype=np.uint64)
+        token[df > 1] = np.concatenate(shared)
+        df, token = np.repeat(df, times), np.repeat(token, times)
+        n = n.astype(np.int64)
+        room = n - -(-percent * n // 100) + 1 - np.bincount(owner[df == 1], minlength=len(n))
+        at = np.flatnonzero((df > 1) & (room > 0)[owner])
+        at = at[np.lexsort((token[at], df[at], owner[at]))]
+        start = np.searchsorted(owner[at], np.arange(len(n)))
+        at = at[np.arange(len(at)) - start[owner[at]] < room[owner[at]]]
+        at = at[np.argsort(token[at], kind="stable")]
+        token, owner = token[at], owner[at]
+        ids, out = [], []
+        edge = np.searchsorted(token, cuts)
+        for i in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+            x, y = edge[i], edge[i + 1]
+            sets, of = np.unique(owner[x:y], return_inverse=True)
+            out.append(_joined(c.pack(key[sets], n[sets].astype(np.uint32)), c.pack(np.diff(token[x:y], prepend=np.uint64(0)), of.reshape(-1).astype(np.uint32))))
+            ids.append(i)
+        return pa.table({"bucket": pa.array(ids, pa.int64()), "postings": pa.array(out, pa.binary())})
 
     return kernel
 
@@ -178,9 +222,9 @@ def _stars(percent: int):
         rows = t.column("postings").to_pylist()
         token, key, n = [], [], []
         for r in rows:
-            size = int.from_bytes(r[:8], "little")
-            keys, sizes = c.unpack(r[8 : 8 + size], np.int64, np.uint32)
-            gaps, of = c.unpack(r[8 + size :], np.uint64, np.uint32)
+            head, tail = _parted(r)
+            keys, sizes = c.unpack(head, np.int64, np.uint32)
+            gaps, of = c.unpack(tail, np.uint64, np.uint32)
             token.append(np.cumsum(gaps, dtype=np.uint64))
             key.append(keys[of])
             n.append(sizes[of])
@@ -303,32 +347,25 @@ def _links(size: int, percent: int):
     return kernel
 
 
-PROFILE = "doc_id long, n long, key long, shingle long, times long"
-
-
-def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(upper halves of the most frequent shingles, sorted, their counts): at most FREQUENT, which only orders prefixes."""
-    rows = c.stored(profile.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")), "frequent")
-    # The most frequent, and of the count that overflows the table a part by hash.
-    room, keep = FREQUENT, F.lit(False)
-    for times, n in sorted(rows.groupBy(F.least("times", F.lit(1 << 13))).agg(F.count("*")).collect(), reverse=True):
-        keep = F.col("times") >= times if n <= room else keep | ((F.col("times") == times) & (F.col("shingle") < (room << 32) // n))
-        if n > room:
-            break
-        room -= n
-    rows = rows.where(keep).toArrow()
-    values = rows.column("shingle").to_numpy().astype(np.uint32)
-    o = np.argsort(values)
-    return values[o], rows.column("times").to_numpy()[o].astype(np.int32)
+NAMES = ["doc_id", "n", "key", "chunk", "bucket", "data"]
+PROFILE = "doc_id long, n long, key long, chunk long, bucket long, data binary"
 
 
-def _clusters(texts: DataFrame, profile: DataFrame, size: int, percent: int, packed: bool) -> DataFrame:
-    """(key, cluster) of the classes that share a prefix shingle with one of a size that fits."""
-    total = profile.agg(F.sum("n")).first()[0] or 0
-    buckets = max(c.partitions(texts.sparkSession), total * (100 - percent) // 100 // BUCKET + 1)
-    postings = c.map_arrow(texts, _prefixes(size, percent, _frequent(profile), buckets, packed), "bucket long, postings binary")
+def _clusters(texts: DataFrame, total: int, size: int, percent: int, packed: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, key) of all rows of texts, and (key, cluster) of the classes that share a prefix shingle with one of
+    a size that fits.  total: about how many shingles there are, which sets the number of buckets."""
+    buckets = max(c.partitions(texts.sparkSession), total // BUCKET + 1)
+    # So many bits tell nearly all shingles apart; two that are taken for one only make a cluster larger.
+    bits = min(60, max(32, total.bit_length() + 8))
+    cuts = edges(buckets, bits)
+    profile = c.stored(c.map_arrow(texts, _chunks(size, bits, cuts, packed), PROFILE), "sets")
+    tokens = profile.where("bucket >= 0").select("chunk", "bucket", "data").repartition(buckets, "bucket")
+    counts = tokens.groupBy("bucket").applyInArrow(c.by_group(_counts(cuts)), "chunk long, bucket long, data binary")
+    owners = profile.where("bucket = -1").select("chunk", "bucket", "data")
+    postings = owners.union(counts).groupBy("chunk").applyInArrow(c.by_group(_prefixes(percent, cuts)), "bucket long, postings binary")
     stars = postings.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(c.by_group(_stars(percent)), "a long, b long")
-    return c.stored(c.components(stars).withColumnRenamed("node", "key").withColumnRenamed("root", "cluster"), "clusters")
+    clusters = c.stored(c.components(stars).withColumnRenamed("node", "key").withColumnRenamed("root", "cluster"), "clusters")
+    return profile.where("n is not null").select("doc_id", "n", "key"), clusters
 
 
 def jaccard_join(docs: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
@@ -339,19 +376,17 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, percent: int = 75) -> DataFr
     """
     spark = c.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = c.stored(c.map_arrow(docs, _profile(size), PROFILE), "sets")
-    sets = profile.where("n is not null").select("doc_id", "n", "key")
-    clusters = _clusters(docs.select("text"), profile, size, percent, packed=False)
+    # A word of five bytes and a separator is short: this is about the number of words, or more.
+    total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    sets, clusters = _clusters(docs, total, size, percent, packed=False)
 
-    # Texts of classes in clusters, laid out by cluster: there, counts of shingles are nearly exact, and prefixes tell more.
+    # One text of each class in a cluster: here no copies raise the counts, which then are exact, and prefixes tell more.
     classes = sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"), F.first("n").alias("n"))
-    members = classes.where("doc_id is not null").join(clusters, "key")
+    members = classes.where("doc_id is not null").join(clusters.select("key"), "key")
     zipped = c.map_arrow(docs, _zip, "doc_id long, text binary")
     # Texts are streamed past a hash table of the members' ids, not sorted.
-    near = zipped.join(members.hint("shuffle_hash"), "doc_id").select("key", "times", "n", "cluster", "text")
-    near = c.stored(near.repartitionByRange(c.partitions(spark), "cluster", "key").drop("cluster"), "near")
-    again = c.stored(c.map_arrow(near.select("key", "text"), _profile(size, True), PROFILE), "sets")
-    clusters = _clusters(near.select("text"), again, size, percent, packed=True)
+    near = c.stored(zipped.join(members.hint("shuffle_hash"), "doc_id").select("key", "times", "n", "text"), "near")
+    _, clusters = _clusters(near.select("key", "text"), near.agg(F.sum("n")).first()[0] or 0, size, percent, packed=True)
 
     clusters = clusters.join(classes.select("key", "n"), "key")
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
