@@ -51,6 +51,7 @@ class Source:
     def __init__(self, text: str):
         found = [(m.lastgroup, m[0], m.start()) for m in TOKEN.finditer(text) if m.lastgroup]
         self.kind, self.text = [x[0] for x in found], [x[1] for x in found]
+        self.whole, self.start = text, [x[2] for x in found]
         self.line, at, line = [], 0, 1
         for _, _, start in found:
             line += text.count("\n", at, start)
@@ -73,6 +74,9 @@ class Source:
         self.package = ""
         self.calls: list[tuple[int, str, str, str, str, int | None]] = []
         self.waiting: list[tuple] = []
+        # Variables of the template at hand; by call, its variables and the lines of its body.
+        self.variables: list[tuple[str, str]] = []
+        self.details: list[tuple[list[tuple[str, str]], int, int]] = []
         if "package" in self.text:
             a = self.text.index("package") + 1
             self.package = "".join(self.text[a : self.find(a, len(found), ";")])
@@ -148,6 +152,7 @@ class Source:
         name = "".join(name_of(self.text[i]) for i in range(a, b) if self.kind[i] != "sign" and self.text[i] not in ("new", "this", "super", "instanceof"))
         name = re.sub(r"(.{2,})(?:\1)+", r"\1", name) or "var"
         count[0] += 1
+        self.variables.append((f"{name}{count[0] - 1}", self.whole[self.start[a] : self.start[b - 1] + len(self.text[b - 1])] if b > a else ""))
         return f"{{{name}{count[0] - 1}}}"
 
     def fill(self, args: list[tuple[int, int]], pattern: str, count: list[int]) -> str:
@@ -160,6 +165,7 @@ class Source:
         return re.sub(pattern, next_one, self.fold(*args[0], count))
 
     def template(self, args: list[tuple[int, int]]) -> str | None:
+        self.variables = []
         while len(args) > 1 and not self.is_string(*args[0]):
             args = args[1:]
             if len(args) == 1 and not self.is_string(*args[0]):
@@ -244,6 +250,8 @@ class Body:
         self.jumps: list[tuple[str | None, set[int], set[int] | None]] = []
 
     def run(self, a: int, b: int, expression: bool) -> None:
+        s = self.s
+        self.lines = (s.line[max(a - 1, 0)], s.line[min(b, len(s.line) - 1)]) if s.line else (1, 1)
         self.expression(a, b, {0}) if expression else self.block(a, b, {0})
         idom = immediate_dominators(self.edges, 0)
         for node, call in self.logs.items():
@@ -278,12 +286,13 @@ class Body:
             elif x == "(" and i - 2 > a and s.text[i - 2] == "." and s.kind[i - 1] == "name" and s.text[i - 1].upper() in LEVELS and "log" in s.target(i - 2, a).lower():
                 template = s.template(s.split(i + 1, s.end[i], ","))
                 if template is not None:
-                    found.append((s.end[i], i, template))
+                    found.append((s.end[i], i, template, s.variables))
             i += 1
-        for _, i, template in sorted(found):  # inner calls run first
+        for _, i, template, variables in sorted(found):  # inner calls run first
             at = self.node({at})
             self.logs[at] = len(s.calls)
             s.calls.append((i, s.line[i - 1], self.name, self.method, s.text[i - 1].upper(), template, None))
+            s.details.append((variables, *self.lines))
         return {at}
 
     def jump(self, kind: str, label: str | None, before: set[int]) -> None:
@@ -403,6 +412,52 @@ class Body:
         return i, out
 
 
+def report(text: str | None, names: frozenset[str] | None = None) -> Iterator[tuple[int, str]]:
+    """(call, annotated body) of each log call whose dominators log variables that it does not.
+
+    A comment above the call lists these variables, and a mark stands above each dominator in the same body; the body's
+    least indentation is taken off.  names: only variables of these names.
+    """
+    source = Source(text or "")
+    calls = source.read()
+    order = sorted(range(len(source.calls)), key=lambda i: source.calls[i][0])
+    lines = (text or "").split("\n")
+    for k, (line, _, _, level, template, up) in enumerate(calls):
+        own, first, last = source.details[order[k]]
+        have, new, marks = {x for x, _ in own}, [], set()
+        while up is not None:
+            theirs = [(x, e) for x, e in source.details[order[up]][0] if x not in have and (names is None or x in names)]
+            have |= {x for x, _ in theirs}
+            new += theirs
+            marks |= {calls[up][0]} if theirs else set()
+            up = calls[up][5]
+        if not new:
+            continue
+        out = []
+        for at in range(first, last + 1):
+            pad = re.match(r"\s*", lines[at - 1])[0]
+            if at == line:
+                quoted = template.replace("*/", "* /")
+                out += [f"{pad}/* #LOG {level} {quoted}", *(f"{pad} * {x}: {e.replace('*/', '* /')}" for x, e in new), f"{pad} */"]
+            if at in marks:
+                out.append(f"{pad}// #LOG ASSOCIATE")
+            out.append(lines[at - 1])
+        least = min((len(x) - len(x.lstrip()) for x in out if x.strip()), default=0)
+        yield k, "\n".join(x[least:] for x in out)
+
+
+def injection_reports(sources: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(path, no, source): the annotated body of each call with something to inject.  names(name): a list of allowed
+    variables, as from a file of one name a line; it goes to all tasks."""
+    allowed = None if names is None else frozenset(r[0] for r in names.select("name").distinct().toLocalIterator())
+
+    def kernel(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(p, *r) for p, t in zip(f["path"], f["text"], strict=True) for r in report(t, allowed)], columns=["path", "no", "source"])
+
+    return sources.select("path", "text").mapInPandas(kernel, "path string, no int, source string")
+
+
 def read_file(path: str, text: str | None) -> Iterator[tuple]:
     source = Source(text or "")
     for no, (line, name, method, level, template, idom) in enumerate(source.read()):

@@ -2,7 +2,8 @@
 
 import pytest
 
-from logweave.sources.java import extract_statements, literal, read_file
+from logweave.__main__ import parser, run
+from logweave.sources.java import extract_statements, injection_reports, literal, read_file, report
 
 
 def found(body, extra=""):
@@ -52,3 +53,28 @@ def test_table(spark):
     a, b = 'class A { void m() { log.info("x"); log.info("y"); } }', 'class B { void m() { log.info("z {}", q); log.info("w"); } }'
     rows = extract_statements(spark.createDataFrame([("b", b), ("a", a), ("c", None), ("d", "")], "path string, text string")).orderBy("event_id").collect()
     assert [(r["idom_id"], r["event_id"], r["path"], r["template"]) for r in rows] == [(None, 0, "a", "x"), (0, 1, "a", "y"), (None, 2, "b", "z {Q0}"), (2, 3, "b", "w")]
+
+
+def test_reports(spark):
+    text = 'class A {\n  void m() {\n    log.info("user {}", u.id());\n    if (x) {\n      log.warn("bad {}", why);\n    }\n  }\n}'
+    wanted = 'void m() {\n  // #LOG ASSOCIATE\n  log.info("user {}", u.id());\n  if (x) {\n    /* #LOG WARN bad {Why0}\n     * UId0: u.id()\n     */\n    log.warn("bad {}", why);\n  }\n}'
+    assert list(report(text)) == [(1, wanted)]
+    assert list(report(text, frozenset(["Other0"]))) == [] == list(report(None))
+    sources = spark.createDataFrame([("a", text), ("b", None)], "path string, text string")
+    assert [tuple(r) for r in injection_reports(sources).collect()] == [("a", 1, wanted)]
+    names = spark.createDataFrame([("UId0",)], "name string")
+    assert injection_reports(sources, names).count() == 1
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "A.java").write_text('class A {\n void m() {\n  log.info("user {}", userId);\n  log.info("done");\n }\n}')
+    (tmp_path / "x-output.txt").write_text("".join(f"2024-01-01 00:00:0{i},00{k} INFO [main] p.A (A.java:m({3 + k})) - t\n" for i in range(5) for k in (0, 1)))
+    call = lambda *a: run(spark, parser().parse_args([*map(str, a)]))
+    env = ("-e", f"file:{tmp_path / 'src'}")
+    call(*env, "output", tmp_path / "graph")
+    assert call("stats", tmp_path / "graph") == {"stmt_count": 2, "stmt_w_id_count": 1, "stmt_w_injection_count": 1}
+    assert call("compare", tmp_path / "graph", tmp_path, "--min_support", 5) == {"matching_paths_count": 1}
+    assert call("compare", tmp_path / "graph", tmp_path) == {"matching_paths_count": 0}
+    call(*env, "injections", tmp_path / "reports")
+    assert "#LOG INFO done" in spark.read.option("multiLine", True).option("escape", '"').csv(str(tmp_path / "reports")).first()[0]
