@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.functions import text as t
@@ -124,7 +124,14 @@ SPANS = r"""lines AS (
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph per user: the first six changes of event type, from the first type."""
+    """A graph per user: all changes of event type between neighbours, from the first type."""
+    order = Window.partitionBy("stream").orderBy("us", "seq")
+    rows = event_rows(spark, sf_dir).select(F.col("stream").alias("method"), F.lag("item").over(order).alias("src"), F.col("item").alias("dst"), F.first("item").over(order).alias("root"), F.row_number().over(order).alias("rn"))
+    return rows.where("rn > 1").select("method", "src", "dst", "root", F.col("src").isin("error", "view").alias("is_log")).distinct()
+
+
+def first_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph per user: the first six changes of event type, from the first type, as CFG has them."""
     e = event_rows(spark, sf_dir).groupBy("stream").agg(F.slice(F.sort_array(F.collect_list(F.struct("us", "seq", "item"))), 1, 7).alias("h"))
     pairs = F.expr("transform(filter(sequence(0, size(h) - 1), i -> i > 0), i -> struct(h[i - 1].item as src, h[i].item as dst))")
     edges = e.select(F.col("stream").alias("method"), F.col("h")[0]["item"].alias("root"), F.explode(pairs).alias("p"))
@@ -142,6 +149,7 @@ dom AS (
   SELECT a.method, a.node, b.node AS d FROM nodes a JOIN nodes b USING (method) JOIN heads r USING (method) WHERE a.node <> b.node AND (b.node = r.root OR NOT EXISTS (SELECT 1 FROM reach x WHERE x.method = a.method AND x.gone = b.node AND x.node = a.node))),
 deep AS (SELECT method, node, count(*) AS n FROM dom GROUP BY method, node),
 ranked AS (SELECT dom.method, dom.node, dom.d, coalesce(deep.n, 0) AS n FROM dom LEFT JOIN deep ON deep.method = dom.method AND deep.node = dom.d)"""
+CFG_WHOLE = CFG.replace(" WHERE b.rn <= 7", "")
 
 # ---------------------------------------------------------------- queries
 
@@ -393,11 +401,21 @@ def diff_track(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {CFG} SELECT method, node, arg_max(d, n) AS idom FROM ranked GROUP BY method, node")
 def cfg_dominators(spark, sf_dir):
-    return dominators.dominators(transitions(spark, sf_dir)).select("method", "node", "idom")
+    return dominators.dominators(first_transitions(spark, sf_dir)).select("method", "node", "idom")
 
 
 @query(f"WITH RECURSIVE {CFG} SELECT method, node, arg_max(d, n) FILTER (WHERE d IN ('error', 'view')) AS log_idom FROM ranked GROUP BY method, node")
 def cfg_log_idom(spark, sf_dir):
+    return dominators.dominators(first_transitions(spark, sf_dir)).select("method", "node", "log_idom")
+
+
+@query(f"WITH RECURSIVE {CFG_WHOLE} SELECT method, node, arg_max(d, n) AS idom FROM ranked GROUP BY method, node")
+def cfg_dominators_whole(spark, sf_dir):
+    return dominators.dominators(transitions(spark, sf_dir)).select("method", "node", "idom")
+
+
+@query(f"WITH RECURSIVE {CFG_WHOLE} SELECT method, node, arg_max(d, n) FILTER (WHERE d IN ('error', 'view')) AS log_idom FROM ranked GROUP BY method, node")
+def cfg_log_idom_whole(spark, sf_dir):
     return dominators.dominators(transitions(spark, sf_dir)).select("method", "node", "log_idom")
 
 
