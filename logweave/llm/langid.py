@@ -7,7 +7,7 @@ have each language.  A host's prior is its own counts, less the page's own, on t
 suffix's, on top of those of all pages.  The posterior of a page is the product of the three.
 
 Counts are summed before they are shuffled, so a host may have any share of the pages; hosts and counts stay on the
-executors, and one row per declared language reaches the driver.  Null html has no text evidence, a null or odd url the empty host, a
+executors, and so do those of declared languages; only their sums reach the driver.  Null html has no text evidence, a null or odd url the empty host, a
 page without declared language no such evidence; without labelled documents there is no language, and all pages get null.
 """
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from logweave.llm import common as c
 
-#: Labelled documents read, buckets of trigrams, languages told apart, declared languages told apart.
-LABELLED, BUCKETS, LANGUAGES, DECLARED = 20_000, 1 << 15, 64, 256
+#: Labelled documents read, buckets of trigrams, languages told apart.
+LABELLED, BUCKETS, LANGUAGES = 20_000, 1 << 15, 64
 #: Trigrams overlap, so a text counts as a third of its trigrams, and at most as so many: other evidence stays audible.
 EACH, MOST = 1 / 3, 400.0
 #: Weight, in pages, of each level's prior from the level above it.
@@ -137,15 +137,15 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     domains = level(seen, "domain", suffixes, "suffix")
     hosts = level(seen, "host", domains, "domain").select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("base").alias("host_base"))
 
-    told = seen.where("declared is not null").groupBy("declared").agg(*add).orderBy(*[F.desc(f"n{i}") for i in k], "declared").limit(DECLARED).collect()
-    totals = [sum(r[f"n{i}"] for r in told) for i in k]
-    odds = {r["declared"]: [float(np.log((r[f"n{i}"] + 0.5) / (totals[i] + 0.5 * (len(told) + 1)))) for i in k] for r in told}
-    says = F.lit(None).cast("array<double>")
-    for d, x in odds.items():
-        says = F.when(F.col("declared") == d, F.array(*[F.lit(v) for v in x])).otherwise(says)
+    told = c.stored(seen.where("declared is not null").groupBy(F.col("declared").alias("told")).agg(*add).select("told", F.array(*[f"n{i}" for i in k]).alias("told_n")), "declared")
+    whole = told.agg(F.count("*"), *[F.sum(F.col("told_n")[i]) for i in k]).first()
+    totals = F.array(*[F.lit((x or 0.0) + 0.5 * (whole[0] + 1)) for x in whole[1:]])
+    says = F.zip_with("told_n", totals, lambda n, total: F.log((n + 0.5) / total))
     zeros = F.array(*[F.lit(0.0)] * len(langs))
 
-    rows = seen.join(hosts, F.col("host") == F.col("h"))
+    # Pages that declare nothing meet nothing, and must not all go to one task if told is too large to be broadcast.
+    key = F.coalesce("declared", F.concat(F.lit("-"), F.pmod(F.xxhash64("page_id", "host"), F.lit(4096)).cast("string")))
+    rows = seen.join(hosts, F.col("host") == F.col("h")).join(told, key == F.col("told"), "left")
     # The page's own text must not come back as its host's: it is taken out of the counts.
     prior = F.zip_with(F.zip_with("host_n", "p", lambda n, p: F.greatest(n - p, F.lit(0.0))), "host_base", lambda n, q: F.log(n + WEIGHT * q))
     rows = rows.withColumn("s", F.zip_with(F.zip_with("ll", F.coalesce(says, zeros), lambda a, b: a + b), prior, lambda a, b: a + b))
