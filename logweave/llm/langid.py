@@ -1,7 +1,7 @@
 """Language identification of web pages by fusion of evidence.
 
 Text likelihoods come from letter trigrams of labelled documents, at most LABELLED rows of the smallest hashes of doc_id
-(a documented bound).  The rest is learned from all pages by grouped aggregation of their text posteriors: how often each
+(a documented bound), for every language in them.  The rest is learned from all pages by grouped aggregation of their text posteriors: how often each
 declared markup language goes with each language, and how often a host, its domain, its address suffix and all pages
 have each language.  A host's prior is its own counts, less the page's own, on top of its domain's, on top of its
 suffix's, on top of those of all pages.  The posterior of a page is the product of the three.
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from logweave.llm import common as c
 
-#: Labelled documents read, buckets of trigrams, languages told apart.
-LABELLED, BUCKETS, LANGUAGES = 20_000, 1 << 15, 64
+#: Labelled documents read, buckets of trigrams, languages scored at a time, pages scored at a time if there are more languages.
+LABELLED, BUCKETS, LANGUAGES, PAGES = 20_000, 1 << 15, 64, 256
+Table = tuple[np.ndarray, np.ndarray, np.ndarray]
 #: Trigrams overlap, so a text counts as a third of its trigrams, and at most as so many: other evidence stays audible.
 EACH, MOST = 1 / 3, 400.0
 #: Weight, in pages, of each level's prior from the level above it.
@@ -65,46 +66,78 @@ def trigrams(text: str) -> np.ndarray:
     return np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(float)
 
 
+def _sparse(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(counts)
+    return at, counts[at]
+
+
+def _dense(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    x = np.zeros(BUCKETS)
+    x[at] = n
+    return x
+
+
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, np.ndarray] = {}
+    """(lang, bucket, n) of the buckets that occur, for each batch and language."""
     for b in batches:
+        total: dict[str, np.ndarray] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             got = trigrams(text or "")
             total[lang] = total[lang] + got if lang in total else got
-    yield pa.RecordBatch.from_arrays([pa.array(total, pa.string()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["lang", "counts"])
+        for lang, x in total.items():
+            # A language without trigrams has a row all the same.
+            at = np.flatnonzero(x) if x.any() else np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(x[at], pa.float64())], names=["lang", "bucket", "n"])
 
 
-def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log likelihoods of trigrams in each) from docs(doc_id, text, lang)."""
+def fit(docs: DataFrame) -> tuple[list[str], Table]:
+    """(languages, their counts of trigrams: language, bucket, count) from docs(doc_id, text, lang)."""
     rows = docs.where("lang is not null and doc_id is not null").select("doc_id", F.lower("lang").alias("lang"), "text")
     # Only ids are sorted and broadcast, at most LABELLED; texts stay where they are.
     wanted = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     rows = rows.join(F.broadcast(wanted), "doc_id")
-    total: dict[str, np.ndarray] = {}
-    for lang, counts in c.map_arrow(rows.select("lang", "text"), _counts, "lang string, counts binary").collect():
-        x = np.frombuffer(bytes(counts), np.float64)
-        total[lang] = total[lang] + x if lang in total else x
-    langs = sorted(total, key=lambda k: (-total[k].sum(), k))[:LANGUAGES]
-    langs.sort()
-    table = np.array([np.log((total[k] + 0.1) / (total[k].sum() + 0.1 * BUCKETS)) for k in langs])
-    return langs, table.reshape(len(langs), BUCKETS)
+    sums = c.map_arrow(rows.select("lang", "text"), _counts, "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = sums.column("lang").combine_chunks().dictionary_encode()
+    langs, rank = np.unique(np.array(names.dictionary.to_pylist(), dtype=object), return_inverse=True) if len(names) else (np.empty(0, object), np.empty(0, np.int64))
+    at = rank[names.indices.to_numpy()] if len(names) else np.empty(0, np.int64)
+    order = np.argsort(at, kind="stable")
+    return list(langs), (at[order], sums.column("bucket").to_numpy()[order], sums.column("n").to_numpy()[order])
+
+
+def _block(table: Table, first: int, last: int) -> np.ndarray:
+    """Log likelihoods of trigrams in the languages of a range."""
+    lo, hi = np.searchsorted(table[0], [first, last])
+    x = np.zeros((last - first, BUCKETS))
+    x[table[0][lo:hi] - first, table[1][lo:hi]] = table[2][lo:hi]
+    return np.log((x + 0.1) / (x.sum(axis=1, keepdims=True) + 0.1 * BUCKETS))
 
 
-def _evidence(langs: list[str], table: np.ndarray):
+def _evidence(langs: list[str], table: Table):
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for id_, url, page in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                page = page or ""
-                counts = trigrams(text_of(page))
-                n = counts.sum()
-                ll = (table @ counts) * (min(n * EACH, MOST) / n) if n else np.zeros(len(langs))
-                ll = ll - ll.max()
-                p = np.exp(ll)
-                rows.append((id_, *host_of(url), declared(page), ll, p / p.sum()))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            types = [pa.int64(), *[pa.string()] * 4, pa.list_(pa.float64()), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["page_id", "host", "domain", "suffix", "declared", "ll", "p"])
+        ranges = [(i, min(i + LANGUAGES, len(langs))) for i in range(0, len(langs), LANGUAGES)]
+        held = _block(table, *ranges[0]) if len(ranges) == 1 else None
+        for whole in batches:
+            # With more than one block, each is made anew for a slice of pages, whose counts are held meanwhile.
+            for b in [whole] if held is not None else [whole.slice(i, PAGES) for i in range(0, whole.num_rows, PAGES)]:
+                ids, urls, pages = (x.to_pylist() for x in b.columns)
+                pages = [x or "" for x in pages]
+                lls = np.zeros((len(pages), len(langs)))
+                counted = None if held is not None else [_sparse(trigrams(text_of(x))) for x in pages]
+                for i, j in ranges:
+                    block = held if held is not None else _block(table, i, j)
+                    for r in range(len(pages)):
+                        counts = trigrams(text_of(pages[r])) if counted is None else _dense(*counted[r])
+                        n = counts.sum()
+                        if n:
+                            lls[r, i:j] = (block @ counts) * (min(n * EACH, MOST) / n)
+                rows = []
+                for id_, url, page, ll in zip(ids, urls, pages, lls, strict=True):
+                    ll = ll - ll.max()
+                    p = np.exp(ll)
+                    rows.append((id_, *host_of(url), declared(page), ll, p / p.sum()))
+                columns = list(zip(*rows, strict=True)) or [()] * 7
+                types = [pa.int64(), *[pa.string()] * 4, pa.list_(pa.float64()), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["page_id", "host", "domain", "suffix", "declared", "ll", "p"])
 
     return kernel
 

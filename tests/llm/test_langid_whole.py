@@ -22,3 +22,14 @@ def test_language_declared_besides_many(spark):
     pages += [(i, f"http://h{i}.x{i % 9}/", '<html lang="bb">') for i in (340,)]
     got = {r["page_id"]: r["lang"] for r in langid.identify(spark.createDataFrame(pages, PAGES), docs).collect()}
     assert got == {i: "aa" if i < 300 else "bb" for i in range(341)}
+
+
+def test_more_languages_than_are_scored_at_a_time(spark):
+    n = 2 * langid.LANGUAGES + 2
+    name = lambda k: "".join(chr(97 + x) for x in divmod(k, 26)) + "x"
+    docs = spark.createDataFrame([(i, text(i % n, i), name(i % n)) for i in range(2 * n)] + [(9999, "", "none")], "doc_id long, text string, lang string")
+    langs, table = langid.fit(docs)
+    assert langs == sorted([*map(name, range(n)), "none"]) and len(table[0]) > 0
+    pages = spark.createDataFrame([(k, f"http://h{k}.x{k}/", f"<html>{text(k, 7000 + k)}") for k in range(n)], PAGES)
+    got = {r["page_id"]: r["lang"] for r in langid.identify(pages, docs).collect()}
+    assert got == {k: name(k) for k in range(n)}
