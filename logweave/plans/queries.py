@@ -303,7 +303,7 @@ def path_support(spark, sf_dir):
 @query(f"""WITH {EVENT}, {SEQ}, {TYPES}, {_PATHS}, all_paths AS (SELECT * FROM paths UNION ALL SELECT x, x FROM types)
   SELECT path, count(*) AS support FROM all_paths JOIN seqs ON regexp_matches(array_to_string(items, '>'), pattern) GROUP BY path HAVING count(*) >= 500""")
 def frequent_patterns(spark, sf_dir):
-    found = sequences.frequent_patterns(tables.stored(sequence_rows(spark, sf_dir), "sequences"), support=500, longest=3)
+    found = sequences.frequent_patterns(tables.stored(sequence_rows(spark, sf_dir), "sequences"), support=500)
     return found.select(F.array_join("path", ">").alias("path"), "support")
 
 

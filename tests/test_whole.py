@@ -1,5 +1,8 @@
 """Queries over the whole of their input, on small tables."""
 
+import itertools
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from logweave.plans import queries as core
@@ -39,3 +42,16 @@ def test_dominators_of_long_users(spark, tmp_path):
     log = {(r["method"], r["node"]): r["log_idom"] for r in core.QUERIES["cfg_log_idom_whole"](spark, sf_dir).collect()}
     assert log == {k: next((d for d in reversed(ds) if d in ("error", "view")), None) for k, ds in want.items()}
     assert idom[1, "purchase"] == "error" and idom[5, "purchase"] == "signup"
+
+
+def test_patterns_of_more_than_three_items(spark, tmp_path):
+    kinds = ["signup view click purchase error view".split(), "view click click view error".split()]
+    types = {u: kinds[u % 2] for u in range(520)}
+    sf_dir = write_events(spark, tmp_path, types)
+    support = Counter()
+    for xs in types.values():
+        for n in range(2, len(xs) + 1):
+            support.update({x for k in range(1, n + 1) for x in itertools.combinations(xs[:n], k)})
+    want = {">".join(p): n for p, n in support.items() if n >= 500}
+    got = {r["path"]: r["support"] for r in core.QUERIES["frequent_patterns"](spark, sf_dir).collect()}
+    assert got == want and any(p.count(">") >= 3 for p in want)
