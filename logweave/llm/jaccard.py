@@ -9,7 +9,7 @@
    A shingle of one class alone goes nowhere, so a class with too few shared shingles is in no cluster.
    One set of each class in a cluster then does both steps once more, with counts that no copies raise.
 3. Texts of a cluster meet in blocks of about BLOCK shingles.  A set's overlaps with all indexed sets come from the lists
-   of its shingles, of which only the block of fitting sizes is read; for a set much like one already answered, from
+   of its shingles, of which only the block of fitting sizes is read (short lists whole); for a set much like one already answered, from
    that set's overlaps, less the lists it lacks, plus the lists it adds.  Links are counted, and leave as a forest.
 4. Components of the links, with copies counted by the size of their class.
 
@@ -36,8 +36,8 @@ from logweave.llm import common as c
 HELD = 2_000_000
 #: Shingles in a bucket; shingles in a block of sets, and of small clusters in a task; overlap vectors kept for reuse.
 BUCKET, BLOCK, TOGETHER, ANSWERS = 500_000, 2_000_000, 500_000, 16
-#: Entries of lists read at once.
-EXPANDED = 1 << 20
+#: Entries of lists read at once; entries up to which a list is read whole.
+EXPANDED, SHORT = 1 << 20, 64
 
 _ODD = c.mix(np.arange(11, 75, dtype=np.uint64)) | np.uint64(1)
 
@@ -245,13 +245,32 @@ def _stars(percent: int):
     return kernel
 
 
+def within(lists: np.ndarray, a: np.ndarray, b: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each list lists[a:b], in order, where its entries from lo to below hi begin and end; all of a list of up to SHORT entries."""
+    a, b = a.copy(), b.copy()
+    long = np.flatnonzero(b - a > SHORT)
+    if len(long):
+        ends = []
+        for x in (lo, hi):
+            i, j = a[long], b[long]
+            while len(still := np.flatnonzero(i < j)):
+                mid = (i[still] + j[still]) >> 1
+                less = lists[mid] < x
+                i[still[less]] = mid[less] + 1
+                j[still[~less]] = mid[~less]
+            ends.append(i)
+        a[long], b[long] = ends
+    return a, b
+
+
 def overlaps_join(queries: list[np.ndarray], indexed: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """(i, places in indexed of the sets that link with query i), each from the index's lists or from a like query's answer."""
     sizes = np.array([len(s) for s in indexed], dtype=np.int64)
     by_size = np.argsort(sizes, kind="stable")
     sizes = sizes[by_size]
     flat = np.concatenate([indexed[i] for i in by_size]) if len(indexed) else np.empty(0, np.uint64)
-    order = np.argsort(flat)
+    # Stable: the entries of a list stay in order of set size.
+    order = np.argsort(flat, kind="stable")
     lists = np.repeat(np.arange(len(by_size), dtype=np.int32), sizes)[order]
     flat = flat[order]
     del order
@@ -261,7 +280,7 @@ def overlaps_join(queries: list[np.ndarray], indexed: list[np.ndarray], percent:
 
     def counts(ids: np.ndarray, lo: int, hi: int) -> np.ndarray:
         """How often places lo to hi stand in these lists; the blocks outside are skipped."""
-        a, b = starts[ids], starts[ids + 1]
+        a, b = within(lists, starts[ids], starts[ids + 1], lo, hi)
         upto = np.concatenate([[0], np.cumsum(b - a)])
         out, i = np.zeros(hi - lo, dtype=np.int64), 0
         while i < len(ids):
