@@ -22,9 +22,16 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked by a 5-gram Jaccard similarity of 0.75, that with the smallest doc_id stays."""
-    others = jaccard.jaccard_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Of rows that are linked by a 5-gram Jaccard similarity of 0.75, that with the smallest doc_id stays, null last.
+
+    Rows are told apart by a number of their own: of linked rows that share a doc_id, or have none, one stays too, and rows
+    of one doc_id whose texts are not linked all stay.
+    """
+    rows = stored(docs.withColumn("row_", F.monotonically_increasing_id()), "rows")
+    groups = jaccard.jaccard_join(rows.select(F.col("row_").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_"), "component_id")
+    ids = rows.select("row_", "doc_id").join(groups, "row_")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_"))["row_"].alias("first_"))
+    return rows.join(first.hint("shuffle_hash"), F.col("row_") == F.col("first_"), "left_semi").select(*docs.columns)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,12 +78,14 @@ def _copies(sizes: DataFrame, *, most: int) -> DataFrame:
     return joined.select("source", "size", "n", "target", "source_size", (F.col("copies") + F.coalesce("add", F.lit(0))).alias("copies"))
 
 
-def mix(docs: DataFrame, *, most: int = 3) -> DataFrame:
+def mix(docs: DataFrame, *, most: int = 3, row: str | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every row of docs(doc_id, text, source).
 
     size: words; source_size and target: words of the document's source and those it is to give; copies: 0 to `most`.
+    row: a column that tells rows apart, which is returned too.
     """
-    sized = c.stored(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size")), "sizes")
+    own = [row] if row else []
+    sized = c.stored(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), *own), "sizes")
     part = F.coalesce(F.pmod("doc_id", F.lit(RANKS)), F.lit(-1)).alias("part")
     parts = sized.groupBy("source", "size", part).agg(F.count("*").alias("n"))
     sizes = parts.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -96,18 +98,19 @@ def mix(docs: DataFrame, *, most: int = 3) -> DataFrame:
     parts = parts.select("source", "size", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     plan = copies.select(F.col("source").alias("s"), F.col("size").alias("z"), "n", "target", "source_size", "copies").join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
     plan = plan.select(F.col("s"), F.col("z"), F.col("part").alias("p"), "ahead", "n", "target", "source_size", "copies")
-    ranked = sized.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("doc_id")))
+    ranked = sized.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("doc_id", *own)))
     out = ranked.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p")))
     mine = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("ahead") + F.col("rank") <= F.col("copies") % F.col("n"), 1).otherwise(0)
-    out = out.select("doc_id", "source", "size", "source_size", "target", mine.cast("long").alias("copies"))
+    out = out.select("doc_id", "source", "size", "source_size", "target", mine.cast("long").alias("copies"), *own)
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_rows(docs: DataFrame, *, most: int = 3) -> DataFrame:
-    """docs with each row as often as the mix takes its document."""
-    taken = mix(docs, most=most).where("copies > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("mixed_copies"))
-    rows = docs.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return rows.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), F.col("mixed_copies").cast("int")))).select(*[docs[x] for x in docs.columns])
+    """docs with each row as often as the mix takes it, also if rows share a doc_id or have none."""
+    rows = c.stored(docs.withColumn("row_", F.monotonically_increasing_id()), "rows")
+    taken = mix(rows, most=most, row="row_").where("copies > 0").select(F.col("row_").alias("mixed_row"), F.col("copies").alias("mixed_copies"))
+    rows = rows.join(taken.hint("shuffle_hash"), F.col("row_") == F.col("mixed_row"))
+    return rows.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), F.col("mixed_copies").cast("int")))).select(*docs.columns)
 
 
 #: The same in DuckDB's SQL, from T / S instead of Newton's iterations.
