@@ -178,7 +178,10 @@ def near_duplicates(embeddings: DataFrame, *, cosine: float = 0.95, sample: int
     rows = c.stored(c.map_arrow(rows, _pack(kind), "vec_id long, v binary"), "vectors").withColumn("key", F.xxhash64("v"))
     # A vector's representative is named by its smallest vec_id; copies are those of equal bytes.
     reps = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"), F.first("key").alias("key"))
-    reps = c.stored(reps.where("rep is not null"), "distinct")
+    # Vectors of null ids alone get ids above all others, so that none of these names a component that has a vec_id.
+    top = rows.agg(F.max("vec_id")).first()[0]
+    spare = F.monotonically_increasing_id() + F.lit(0 if top is None else max(top, -1) + 1).cast("long")
+    reps = c.stored(reps.where("rep is not null").union(reps.where("rep is null").withColumn("rep", spare)), "distinct")
     dims = {r[0] // width: r[1] for r in reps.groupBy(F.octet_length("v")).agg(F.count("*")).collect()}
     found = spark.createDataFrame([], "rep long, root long, links long")
     for dim, n in dims.items():

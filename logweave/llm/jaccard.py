@@ -70,6 +70,23 @@ def _zip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["doc_id", "text"])
 
 
+def _keyed(size: int):
+    """(key, packed text) of a text of each set that a task meets."""
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            keys, rows = [], []
+            for i, s in enumerate(shingle_sets(b.column(0), size)):
+                if len(s) and (k := set_key(s)) not in seen:
+                    seen.add(k)
+                    keys.append(k)
+                    rows.append(zstandard.compress(b.column(0)[i].as_py().encode(), 3))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.binary())], names=["key", "text"])
+
+    return kernel
+
+
 def unzipped(column) -> pa.Array:
     return pa.array([zstandard.decompress(x.as_py(), max_output_size=1 << 31) for x in column], pa.large_binary())
 
@@ -404,7 +421,10 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, percent: int = 75) -> DataFr
     members = classes.where("doc_id is not null").join(clusters.select("key"), "key")
     zipped = c.map_arrow(docs, _zip, "doc_id long, text binary")
     # Texts are streamed past a hash table of the members' ids, not sorted.
-    near = c.stored(zipped.join(members.hint("shuffle_hash"), "doc_id").select("key", "times", "n", "text"), "near")
+    near = zipped.join(members.hint("shuffle_hash"), "doc_id").select("key", "times", "n", "text")
+    # A class of null ids alone has no id to find its text by: its texts are found by their sets.
+    nameless = c.map_arrow(docs.where("doc_id is null").select("text"), _keyed(size), "key long, text binary").dropDuplicates(["key"])
+    near = c.stored(near.union(nameless.join(classes.where("doc_id is null").join(clusters.select("key"), "key"), "key").select("key", "times", "n", "text")), "near")
     _, clusters = _clusters(near.select("key", "text"), near.agg(F.sum("n")).first()[0] or 0, size, percent, packed=True)
 
     clusters = clusters.join(classes.select("key", "n"), "key")

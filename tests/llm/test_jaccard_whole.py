@@ -24,3 +24,12 @@ def test_joined_from_fitting_blocks():
     got = {i: sorted(hits.tolist()) for i, hits in jaccard.overlaps_join(sets, sets, 75)}
     inter = lambda x, y: len(np.intersect1d(x, y, True))
     assert got == {i: [j for j, y in enumerate(sets) if 100 * (n := inter(x, y)) >= 75 * (len(x) + len(y) - n)] for i, x in enumerate(sets)}
+
+
+def test_rows_without_id_are_partners(spark):
+    words = [[f"{x}{i}" for i in range(60)] for x in "abc"]
+    a, b, x = (" ".join(w) for w in words)
+    rows = [(1, a), (None, a + " y"), (None, a + " y"), (2, a + " z"), (None, b), (None, b + " y"), (3, x), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), str(r["component_id"]), r["n_links"]) for r in jaccard.jaccard_join(docs).collect())
+    assert got == sorted([("1", "1", 3), ("None", "None", 3), ("None", "None", 3), ("2", "1", 3), ("None", "None", 1), ("None", "None", 1), ("3", "3", 0), ("None", "None", 0)])
