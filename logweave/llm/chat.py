@@ -12,7 +12,8 @@ escaped, until it does.  Rendered turns are rows, so that a conversation of any
 the reader parses their concatenation and knows nothing of the rows' borders.
 
 Turns come in order of turn, then role, then text, nulls first, so ties and repeated rows have a defined order.  Null
-text is empty, a null role is the empty name, and rows of null conv_id are one conversation.
+text is empty, a null role is the empty name, and rows of null conv_id are one conversation.  A text of any length takes
+time in proportion; an empty table gives no conversations; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from logweave.llm import common as c
 CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE=", "[/ROLE]"]
 START = "<s>"
 MARKS = {"system": ("<<SYS>>\n", "\n<</SYS>>\n"), "user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>")}
-_CONTROL = re.compile(r"(\\*)(" + "|".join(map(re.escape, CONTROLS)) + ")")
+_CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
 _OTHER = re.compile(r"\[ROLE=([A-Za-z0-9_.~%-]*)\] ")
 #: The beginning of a mark that opens a turn.
 _PART = re.compile(r"\[(?:I(?:N(?:S(?:T\]?)?)?)?)?|<(?:<(?:S(?:Y(?:S(?:>>?)?)?)?)?)?|\[(?:R(?:O(?:L(?:E(?:=[A-Za-z0-9_.~%-]*\]?)?)?)?)?)?")
@@ -41,17 +42,32 @@ class Conflict(ValueError):
     """The text is not of the grammar."""
 
 
+def controls(text: str, at: int = 0) -> Iterator[tuple[int, int, int]]:
+    """(where the backslashes before it begin, where it begins, where it ends) of every control string from `at` on."""
+    for m in _CONTROL.finditer(text, at):
+        first = m.start()
+        while first > at and text[first - 1] == "\\":
+            first -= 1
+        at = m.end()
+        yield first, m.start(), at
+
+
 def escape(text: str) -> str:
-    return _CONTROL.sub(lambda m: f"{m[1]}{m[1]}\\{m[2]}", text)
+    out, done = [], 0
+    for first, begin, end in controls(text):
+        out.append(text[done:begin] + text[first:begin] + "\\" + text[begin:end])
+        done = end
+    return "".join(out) + text[done:]
 
 
 def unescape(text: str) -> str:
-    def back(m: re.Match) -> str:
-        if len(m[1]) % 2 == 0:
-            raise Conflict(m[0])
-        return "\\" * (len(m[1]) // 2) + m[2]
-
-    return _CONTROL.sub(back, text)
+    out, done = [], 0
+    for first, begin, end in controls(text):
+        if (begin - first) % 2 == 0:
+            raise Conflict(text[begin:end])
+        out.append(text[done : first + (begin - first) // 2] + text[begin:end])
+        done = end
+    return "".join(out) + text[done:]
 
 
 def parse_turn(text: str, at: int) -> tuple[str, str, int, int, int] | None:
@@ -65,14 +81,14 @@ def parse_turn(text: str, at: int) -> tuple[str, str, int, int, int] | None:
         role, opening, closing = unquote(m[1]), m[0], " [/ROLE]"
     begin = at + len(opening)
     mark = closing.strip()
-    for m in _CONTROL.finditer(text, begin):
-        if m[1]:
+    for first, here, past in controls(text, begin):
+        if first < here:
             continue
-        end = m.start() - (len(closing) - len(closing.lstrip()))
-        if m[2] == mark and m.end() == len(text) and len(text) - end < len(closing):
+        end = here - (len(closing) - len(closing.lstrip()))
+        if text[here:past] == mark and past == len(text) and len(text) - end < len(closing):
             return None  # its last line end is still to come
-        if m[2] != mark or end < begin or not text.startswith(closing, end):
-            raise Conflict(m[0])
+        if text[here:past] != mark or end < begin or not text.startswith(closing, end):
+            raise Conflict(text[here:past])
         return role, unescape(text[begin:end]), begin, end, end + len(closing)
     return None
 
@@ -182,12 +198,14 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     spark = c.prepare(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     rows = rows.repartition(c.partitions(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(_format, TURNS)
+    return c.map_arrow(rows.select("conv_id", "role", "text"), _format, TURNS)
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """What the parser finds in format_turns' output, by conversation."""
-    return turns.mapInArrow(_read_back, DIGEST)
+    """What the parser finds in format_turns' output, by conversation; rows may come in any order, as from a table."""
+    spark = c.prepare(turns.sparkSession)
+    rows = turns.repartition(c.partitions(spark), "conv_id").sortWithinPartitions("conv_id", "place")
+    return c.map_arrow(rows.select(*[x.split()[0] for x in TURNS.split(", ")]), _read_back, DIGEST)
 
 
 _ESCAPED = r"regexp_replace(text, '(\\*)(</?s>|\[/?INST\]|<</?SYS>>|\[ROLE=|\[/ROLE\])', '\1\1\\\2', 'g')"
