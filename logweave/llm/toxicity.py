@@ -8,9 +8,12 @@ lexicon weights, hits near a second person, hits that show only after look-alike
 punctuation, and sizes.  Trees fit the logistic loss on histograms; margins of each half under the other half's trees
 are calibrated by isotonic regression.
 
-Each task counts its texts' entries before they are shuffled; a few thousand entries and LABELLED rows of features reach
-the driver.  Null and blank texts are scored like any other; without labels of both kinds the score is the share of
-toxic labels, or 0; several labels of one doc_id count as toxic if one is; a null doc_id is not held out.
+Each task counts its texts' entries before they are shuffled; at most ENTRIES entries, those in most toxic texts, and
+LABELLED rows of features reach the driver.  Entries are of words of 3 to 40 letters; all words count towards densities.
+Null and blank texts are scored like any other, and a text of any length in proportion to it; without labels of both
+kinds the score is the share of toxic labels, or 0; several labels of one doc_id count as toxic if one is; a null doc_id
+is not held out; repeated rows get equal scores, as do all of equal text; an empty table gives no rows; score() returns
+all columns of its input, whatever their names, and toxicity() ignores others than doc_id and text.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ TREES, DEPTH, BINS, RATE = 60, 3, 32, 0.2
 # Second persons of some languages, and look-alike characters.
 SECOND = frozenset("you your yours yourself u ur tu toi te ton ta tes vous votre vos du dich dir dein deine deinen ihr euch euer usted ustedes ti tus vosotros sie ihnen".split())
 LOOKALIKE = str.maketrans("013457@$!|+", "oieastasiit")
-_EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_LETTER = re.compile(r"[^\W\d_]")
 _INSIDE = re.compile(r"[\W\d_]+")
 _REPEAT = re.compile(r"(.)\1{2,}")
 
@@ -48,7 +51,8 @@ def held_out(doc_id: Column) -> Column:
 def forms(token: str) -> tuple[str, str]:
     """A token's letters, lower-cased, and those after look-alikes, separators and repeats are undone."""
     low = token.lower()
-    core = _EDGE.sub("", low)
+    first = _LETTER.search(low)
+    core = low[first.start() : len(low) - _LETTER.search(low[::-1]).start()] if first else ""
     plain = _REPEAT.sub(r"\1", _INSIDE.sub("", low.translate(LOOKALIKE)))
     return core, plain
 
@@ -254,10 +258,12 @@ def _train_features(halves: list[dict[str, float]]):
         scorers = [Scorer(w) for w in halves]
         for b in batches:
             fold = b.column("fold").to_numpy()
-            x = [s.features(b.column("text")) for s in scorers]
-            rows = np.where((fold == 0)[:, None], x[1], x[0])
-            both = np.concatenate([rows, x[2]], 1)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("fold"), pa.array(list(both), pa.list_(pa.float64()))], names=["doc_id", "toxic", "fold", "x"])
+            x = np.zeros((b.num_rows, FEATURES))
+            for k in (0, 1):  # features of one half come from the lexicon of the other
+                mine = np.flatnonzero(fold == k)
+                if len(mine):
+                    x[mine] = scorers[1 - k].features(b.column("text").take(pa.array(mine)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("fold"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "toxic", "fold", "x"])
 
     return kernel
 
@@ -281,8 +287,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED) -> dict
     counts = counts.where(f"toxic >= 3 and toxic * {n - toxic} > 4 * (n - toxic) * {toxic}").orderBy(F.desc("toxic"), "n", "entry").limit(ENTRIES).collect()
     n0, t0 = sizes.get(0, (0, 0))
     halves = [lexicon([(r[0], r[1], r[2]) for r in counts], n0, t0), lexicon([(r[0], r[3] - r[1], r[4] - r[2]) for r in counts], n - n0, toxic - t0), lexicon([(r[0], r[3], r[4]) for r in counts], n, toxic)]
-    got = sorted(tuple(r) for r in c.map_arrow(rows, _train_features(halves), "doc_id long, toxic long, fold long, x array<double>").collect())
-    y, f, x = np.array([r[1] for r in got], dtype=float), np.array([r[2] for r in got]), np.array([r[3] for r in got])[:, :FEATURES]
+    got = sorted(tuple(r) for r in c.map_arrow(rows, _train_features(halves[:2]), "doc_id long, toxic long, fold long, x array<double>").collect())
+    y, f, x = np.array([r[1] for r in got], dtype=float), np.array([r[2] for r in got]), np.array([r[3] for r in got])
     other = np.empty(len(y))
     for k in (0, 1):
         other[f == k] = margins(x[f == k], fit_trees(x[f != k], y[f != k])) if (f != k).any() and 0 < y[f != k].sum() < (f != k).sum() else 0.0
