@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +13,9 @@ LEVELS = ["FATAL", "ERROR", "WARN", "INFO", "DEBUG", "TRACE", "LOG"]
 CALL_LEVELS = ["log", "fatal", "error", "warning", "info", "debug", "trace"]
 ID_PATTERN = r"(?:[iI]d|[pP]ath|[aA]ddress|[hH]ost|[iI]p|[nN]ame|[uU]rl|[uU]ri)(?![a-z])"
 LOG_LINE = r"(?d)^([\d -:,]+) .*? \((\w+.java):.+?\((\d+)\)\) .*?$"
-CALL_PATTERN = r"((?:\w*[Ll][Oo][Gg]\w*\.)+(?:" + "|".join(CALL_LEVELS) + r"))\s*\((?!\s*\))"
+CALL_PATTERN = r"(?<![\w.])((?:\w*[Ll][Oo][Gg]\w*\.)+(?:" + "|".join(CALL_LEVELS) + r"))\s*\((?!\s*\))"
+LITERALS = r'"(?:\\.|[^"\\])*"' + r"|'(?:\\.|[^'\\])*'"
+COMMENTS = r"/\*[\s\S]*?\*/|//.*"
 PLACEHOLDER = r"(?<!\\)\{(\w*)\}"
 SLF4J, PRINTF = r"(?<!\\)\{\}", r"(?<!\\)%\S+"
 
@@ -20,9 +25,14 @@ def is_id(name: Column) -> Column:
     return name.rlike(ID_PATTERN)
 
 
-def variables(template: Column) -> Column:
-    """Names of a template's placeholders, in order; escaped braces hold none."""
-    return F.regexp_extract_all(template, F.lit(PLACEHOLDER), F.lit(1))
+def code(text: Column) -> Column:
+    """Source text whose string and character literals are empty, and without comments."""
+    return F.regexp_replace(F.regexp_replace(text, LITERALS, '""'), COMMENTS, " ")
+
+
+def variables(template: Column, pattern: str = PLACEHOLDER) -> Column:
+    """Names of a template's placeholders, in order; escaped braces hold none.  pattern: its first group is the name."""
+    return F.regexp_extract_all(template, F.lit(pattern), F.lit(1))
 
 
 def escape(text: Column) -> Column:
@@ -50,10 +60,10 @@ def fill_placeholders(text: Column, args: Column, pattern: str = SLF4J) -> Colum
     return F.array_join(filled, "")
 
 
-def template_regex(template: Column) -> Column:
+def template_regex(template: Column, pattern: str = PLACEHOLDER) -> Column:
     """An anchored pattern of a template: literal parts as they are, placeholders as groups, any space between."""
     unescape = lambda x: F.regexp_replace(F.replace(x, F.lit("\\n"), F.lit("\n")), r"\\([{}])", "$1")
-    parts = F.transform(F.split(template, PLACEHOLDER.replace("(\\w*)", "\\w*")), lambda x: F.concat(F.lit("\\Q"), F.trim(unescape(x)), F.lit("\\E")))
+    parts = F.transform(F.split(template, pattern), lambda x: F.concat(F.lit("\\Q"), F.trim(unescape(x)), F.lit("\\E")))
     return F.concat(F.lit(r"^\s*"), F.array_join(parts, r"\s*(.*)\s*"), F.lit(r"\s*$"))
 
 
@@ -62,12 +72,29 @@ def base_name(path: Column) -> Column:
 
 
 def indentation(line: Column) -> Column:
-    return F.length(line) - F.length(F.regexp_replace(line, r"^\s+", ""))
+    """How many spaces and tabs a line begins with."""
+    return F.length(line) - F.length(F.regexp_replace(line, r"^[ \t]+", ""))
+
+
+def min_indent(text: Column) -> Column:
+    """The least indentation of the lines that are not blank; null if all are."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^[ \t]+", "") != "")
+    return F.array_min(F.transform(lines, indentation))
+
+
+class LogFormat(NamedTuple):
+    """How a log line is read: a pattern of the whole line, whose groups are the time, the file and the line number."""
+
+    pattern: str = LOG_LINE
+    time: Callable[[Column], Column] = lambda x: F.translate(x, ",", ".").try_cast("timestamp_ntz")
+
 
+def parse_log_line(line: Column, form: LogFormat = LogFormat()) -> dict[str, Column]:
+    """ts, file_name and line_number of a line that the format's pattern matches; null where a value is malformed.
 
-def parse_log_line(line: Column) -> dict[str, Column]:
-    """ts, file_name and line_number of a log line; all null if it or its time is malformed."""
-    group = lambda i: F.regexp_extract(line, LOG_LINE, i)
-    ts = F.translate(group(1), ",", ".").try_cast("timestamp_ntz")
-    good = line.rlike(LOG_LINE) & ts.isNotNull()
-    return {"ts": F.when(good, ts), "file_name": F.when(good, group(2)), "line_number": F.when(good, group(3).try_cast("int"))}
+    One pass of the pattern over the line puts its groups between marks, with none in the first and last of them.
+    """
+    marked = F.regexp_replace(line, form.pattern, "$1\x01$2\x01$3")
+    first, last = F.substring_index(marked, "\x01", 1), F.substring_index(marked, "\x01", -1)
+    middle = F.substr(marked, F.length(first) + 2, F.length(marked) - F.length(first) - F.length(last) - 2)
+    return {"ts": form.time(first), "file_name": middle, "line_number": last.try_cast("int")}

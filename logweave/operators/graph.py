@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions import text as t
@@ -47,7 +47,7 @@ def dominator_chain(statements: DataFrame) -> DataFrame:
         chain = new
         if jump.isEmpty():
             return chain
-        if length > 1 << 20:
+        if not chain.where("event_id = ancestor").isEmpty():
             raise ValueError("the statements' idoms form a cycle")
 
 
@@ -68,9 +68,9 @@ def statement_stats(statements: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(pairs))  # one row each
 
 
-def ancestor_variables(statements: DataFrame) -> DataFrame:
+def ancestor_variables(statements: DataFrame, variable: str = t.PLACEHOLDER) -> DataFrame:
     """(event_id, names, above): a statement's own variables and those of its dominators, nearest first."""
-    own = statements.select("event_id", t.variables(F.col("template")).alias("names"))
+    own = statements.select("event_id", t.variables(F.col("template"), variable).alias("names"))
     chain = dominator_chain(statements).join(own.select(F.col("event_id").alias("ancestor"), F.col("names").alias("theirs")), "ancestor")
     above = chain.groupBy("event_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("depth", "theirs"))), lambda x: x["theirs"])).alias("above"))
     return own.join(above, "event_id", "left").select("event_id", "names", F.coalesce("above", F.array().cast("array<string>")).alias("above"))
@@ -83,3 +83,21 @@ def injected_variables(statements: DataFrame, whitelist: DataFrame | None = None
         names = rows.select("event_id", F.posexplode("injected").alias("place", "name")).join(whitelist.select("name").distinct(), "name", "left_semi")
         rows = names.groupBy("event_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("injected"))
     return rows.where(F.size("injected") > 0)
+
+
+def assign_ids(rows: DataFrame, within: str, *order: str) -> DataFrame:
+    """rows with place: numbers from 0 on in that order, within each value of a column."""
+    return rows.withColumn("place", (F.row_number().over(Window.partitionBy(within).orderBy(*order)) - 1).cast("long"))
+
+
+def lookup(statements: DataFrame, event_id: int) -> DataFrame:
+    """The statement of an id; the filter reaches the scan."""
+    return statements.where(F.col("event_id") == event_id)
+
+
+def with_template(events: DataFrame, templates: DataFrame) -> DataFrame:
+    """events with the level, path and template of their template_id; one that templates lacks is an error."""
+    known = templates.select(F.col("template_id").alias("known_id"), "path", "level", "template")
+    rows = events.join(known, F.col("template_id") == F.col("known_id"), "left")
+    checked = F.when(F.col("known_id").isNotNull(), F.col("template_id")).otherwise(F.raise_error(F.concat(F.lit("no template "), F.col("template_id").cast("string"))).cast(events.schema["template_id"].dataType))
+    return rows.withColumn("template_id", checked).drop("known_id")

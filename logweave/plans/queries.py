@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from logweave.functions import text as t
 from logweave.operators import diff, dominators, graph, logs, sequences
-from logweave.sources import tables
+from logweave.operators import templates as template_parser
+from logweave.sources import java, tables
 from logweave.streaming import logs as streaming
+from logweave.streaming import sequences as streams
 
 DAY = 86_400_000_000
 PARENTS = {"purchase": "click", "click": "view", "error": "view"}
@@ -97,6 +99,12 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.concat("event_type", F.lit(" value "), F.round(F.col("value") * 100).cast("long").cast("string"), F.lit(" by user "), F.col("user_id").cast("string")).alias("message"))
 
 
+def typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("stream"), F.row_number().over(order).cast("long").alias("seq"), F.col("event_type").alias("type"), F.round(F.col("value") * 100).cast("long").cast("string").alias("value"))
+
+
 def hunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a page, tags as parentheses, as the lines of a hunk; their place gives the origin."""
     html = F.replace(F.translate(F.coalesce("html", F.lit("")), "<>", "()"), F.lit("track("), F.lit("logger.info( host,"))
@@ -118,8 +126,9 @@ SPANS = r"""lines AS (
   FROM numbered GROUP BY page_id, side, span HAVING arg_max(total, line_no) = 0
 ), calls AS (
   SELECT commit, side, span, CAST(unnest(generate_series(0, len(c) - 1)) AS INTEGER) AS call_no, unnest(c) AS callee, CASE WHEN length(replace(changes, side, '')) > 0 THEN '~' ELSE side END AS kind, has_id FROM (
-    SELECT *, regexp_extract_all(text, '((?:\w*[Ll][Oo][Gg]\w*\.)+(?:log|fatal|error|warning|info|debug|trace))\s*\(\s*[^\s)]', 1) AS c,
-      regexp_matches(text, '([iI]d|[pP]ath|[aA]ddress|[hH]ost|[iI]p|[nN]ame|[uU]rl|[uU]ri)([^a-z]|$)') AS has_id FROM spans WHERE contains(changes, side))
+    SELECT *, regexp_extract_all(code, '(?:^|[^\w.])((?:\w*[Ll][Oo][Gg]\w*\.)+(?:log|fatal|error|warning|info|debug|trace))\s*\(\s*[^\s)]', 1) AS c,
+      regexp_matches(code, '([iI]d|[pP]ath|[aA]ddress|[hH]ost|[iI]p|[nN]ame|[uU]rl|[uU]ri)([^a-z]|$)') AS has_id
+    FROM (SELECT *, regexp_replace(regexp_replace(text, '"(?:\\.|[^"\\])*"|''(?:\\.|[^''\\])*''', '""', 'g'), '/\*[\s\S]*?\*/|//.*', ' ', 'g') AS code FROM spans WHERE contains(changes, side)))
 )"""
 
 
@@ -130,16 +139,8 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("rn > 1").select("method", "src", "dst", "root", F.col("src").isin("error", "view").alias("is_log")).distinct()
 
 
-def first_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph per user: the first six changes of event type, from the first type, as CFG has them."""
-    e = event_rows(spark, sf_dir).groupBy("stream").agg(F.slice(F.sort_array(F.collect_list(F.struct("us", "seq", "item"))), 1, 7).alias("h"))
-    pairs = F.expr("transform(filter(sequence(0, size(h) - 1), i -> i > 0), i -> struct(h[i - 1].item as src, h[i].item as dst))")
-    edges = e.select(F.col("stream").alias("method"), F.col("h")[0]["item"].alias("root"), F.explode(pairs).alias("p"))
-    return edges.select("method", "p.src", "p.dst", "root", F.col("p.src").isin("error", "view").alias("is_log")).distinct()
-
-
 CFG = """h AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-edges AS (SELECT DISTINCT a.user_id AS method, a.event_type AS src, b.event_type AS dst FROM h a JOIN h b ON a.user_id = b.user_id AND b.rn = a.rn + 1 WHERE b.rn <= 7),
+edges AS (SELECT DISTINCT a.user_id AS method, a.event_type AS src, b.event_type AS dst FROM h a JOIN h b ON a.user_id = b.user_id AND b.rn = a.rn + 1),
 heads AS (SELECT user_id AS method, event_type AS root FROM h WHERE rn = 1),
 nodes AS (SELECT method, root AS node FROM heads WHERE method IN (SELECT method FROM edges) UNION SELECT method, dst FROM edges),
 reach AS (
@@ -149,7 +150,6 @@ dom AS (
   SELECT a.method, a.node, b.node AS d FROM nodes a JOIN nodes b USING (method) JOIN heads r USING (method) WHERE a.node <> b.node AND (b.node = r.root OR NOT EXISTS (SELECT 1 FROM reach x WHERE x.method = a.method AND x.gone = b.node AND x.node = a.node))),
 deep AS (SELECT method, node, count(*) AS n FROM dom GROUP BY method, node),
 ranked AS (SELECT dom.method, dom.node, dom.d, coalesce(deep.n, 0) AS n FROM dom LEFT JOIN deep ON deep.method = dom.method AND deep.node = dom.d)"""
-CFG_WHOLE = CFG.replace(" WHERE b.rn <= 7", "")
 
 # ---------------------------------------------------------------- queries
 
@@ -181,7 +181,7 @@ def scan_statements_csv(spark, sf_dir):
 
 @query(f"WITH {STMT} SELECT event_id, template FROM stmt WHERE event_id = 7")
 def statement_lookup(spark, sf_dir):
-    return statements(spark, sf_dir).where("event_id = 7").select("event_id", "template")
+    return graph.lookup(statements(spark, sf_dir), 7).select("event_id", "template")
 
 
 @query(f"WITH {STMT} SELECT event_id, name AS variables FROM stmt")
@@ -268,10 +268,9 @@ def scan_logs(spark, sf_dir):
     root = tables.scratch(spark, "logs")
     rows = log_lines(spark, sf_dir).withColumn("part", F.col("event_id") % 3)
     for k in range(3):
-        lines = rows.where(F.col("part") == k).select(F.concat(F.lit(f"{k} "), "line").alias("value"))
-        lines.write.text(f"{root}/project{k}")
-    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
-    found = files.select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "line")).where("line <> ''")
+        rows.where(F.col("part") == k).select(F.concat(F.lit(f"{k} "), "line").alias("value")).write.text(f"{root}/project{k}")
+    # Spark names its files part-*.txt.
+    found = tables.scan_logs(spark, root, "part-*.txt")
     return found.groupBy(F.substring("line", 1, 1).cast("long").alias("part")).agg(F.count("*").alias("lines"))
 
 
@@ -358,12 +357,7 @@ def template_match(spark, sf_dir):
   u AS (SELECT user_id, rn, v FROM e UNION SELECT user_id, rn, v FROM l1 UNION SELECT user_id, rn, v FROM l2)
   SELECT user_id AS stream, rn AS seq, string_agg(v, ',' ORDER BY v) AS vals FROM u GROUP BY user_id, rn""")
 def lookback_values(spark, sf_dir):
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "events")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = e.select(F.col("user_id").alias("stream"), F.row_number().over(order).cast("long").alias("seq"), F.col("event_type").alias("type"), F.round(F.col("value") * 100).cast("long").cast("string").alias("value"))
-    return logs.lookback_values(rows, PARENTS).select("stream", "seq", F.array_join("values", ",").alias("vals"))
+    return logs.lookback_values(typed_events(spark, sf_dir), PARENTS).select("stream", "seq", F.array_join("values", ",").alias("vals"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
@@ -401,41 +395,93 @@ def diff_track(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {CFG} SELECT method, node, arg_max(d, n) AS idom FROM ranked GROUP BY method, node")
 def cfg_dominators(spark, sf_dir):
-    return dominators.dominators(first_transitions(spark, sf_dir)).select("method", "node", "idom")
+    return dominators.dominators(transitions(spark, sf_dir)).select("method", "node", "idom")
 
 
 @query(f"WITH RECURSIVE {CFG} SELECT method, node, arg_max(d, n) FILTER (WHERE d IN ('error', 'view')) AS log_idom FROM ranked GROUP BY method, node")
 def cfg_log_idom(spark, sf_dir):
-    return dominators.dominators(first_transitions(spark, sf_dir)).select("method", "node", "log_idom")
-
-
-@query(f"WITH RECURSIVE {CFG_WHOLE} SELECT method, node, arg_max(d, n) AS idom FROM ranked GROUP BY method, node")
-def cfg_dominators_whole(spark, sf_dir):
-    return dominators.dominators(transitions(spark, sf_dir)).select("method", "node", "idom")
-
-
-@query(f"WITH RECURSIVE {CFG_WHOLE} SELECT method, node, arg_max(d, n) FILTER (WHERE d IN ('error', 'view')) AS log_idom FROM ranked GROUP BY method, node")
-def cfg_log_idom_whole(spark, sf_dir):
     return dominators.dominators(transitions(spark, sf_dir)).select("method", "node", "log_idom")
 
 
-@query(r"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(replace(html, 'track(', 'catalog.info('), '([\w.]+)\(', 1)) AS callee FROM pages)
-  SELECT page_id, callee, count(*) AS calls FROM c WHERE contains(lower(regexp_extract(callee, '^(.*)\.(\w+)$', 1)), 'log') AND upper(regexp_extract(callee, '^(.*)\.(\w+)$', 2)) IN ('FATAL', 'ERROR', 'WARN', 'INFO', 'DEBUG', 'TRACE', 'LOG') GROUP BY ALL""")
+@query(r"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(replace(html, 'track(', 'catalog.info('), '([\w.]+)\(([^()]*)', 1)) AS callee, unnest(regexp_extract_all(replace(html, 'track(', 'catalog.info('), '([\w.]+)\(([^()]*)', 2)) AS args FROM pages)
+  SELECT page_id, callee, count(*) AS calls FROM c WHERE contains(lower(regexp_extract(callee, '^(.*)\.(\w+)$', 1)), 'log') AND upper(regexp_extract(callee, '^(.*)\.(\w+)$', 2)) IN ('FATAL', 'ERROR', 'WARN', 'INFO', 'DEBUG', 'TRACE', 'LOG') AND length(trim(args, ' ')) > 0 GROUP BY ALL""")
 def log_call_filter(spark, sf_dir):
-    calls = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all(F.replace("html", F.lit("track("), F.lit("catalog.info(")), F.lit(r"([\w.]+)\("), F.lit(1))).alias("callee"))
-    return calls.where(logs.log_calls(F.col("callee"), F.lit("x"))).groupBy("page_id", "callee").agg(F.count("*").alias("calls"))
+    html, call = F.replace("html", F.lit("track("), F.lit("catalog.info(")), F.lit(r"([\w.]+)\(([^()]*)")
+    both = F.arrays_zip(F.regexp_extract_all(html, call, F.lit(1)).alias("callee"), F.regexp_extract_all(html, call, F.lit(2)).alias("args"))
+    calls = table(spark, sf_dir, "pages").select("page_id", F.inline(both).alias("callee", "args"))
+    return calls.where(logs.log_calls(F.col("callee"), F.col("args"))).groupBy("page_id", "callee").agg(F.count("*").alias("calls"))
 
 
 @query("""WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages) SELECT page_id, CAST(min(length(line) - length(ltrim(line, ' ' || chr(9)))) AS INTEGER) AS indent FROM l WHERE trim(line, ' ' || chr(9)) <> '' GROUP BY page_id""")
 def min_indent(spark, sf_dir):
-    lines = F.filter(F.split("html", "\n"), lambda x: F.regexp_replace(x, r"^[ \t]+", "") != "")
-    least = F.array_min(F.transform(lines, lambda x: F.length(x) - F.length(F.regexp_replace(x, r"^[ \t]+", ""))))
-    return table(spark, sf_dir, "pages").select("page_id", least.alias("indent")).where("indent is not null")
+    return table(spark, sf_dir, "pages").select("page_id", t.min_indent(F.col("html")).alias("indent")).where("indent is not null")
 
 
 @query(f"WITH {STMT} SELECT event_id, row_number() OVER (PARTITION BY file_name ORDER BY line_number, event_id) - 1 AS place FROM stmt")
 def assign_ids(spark, sf_dir):
-    from pyspark.sql import Window
+    return graph.assign_ids(statements(spark, sf_dir), "file_name", "line_number", "event_id").select("event_id", "place")
+
+
+# ---------------------------------------------------------------- sources of Java
+
+
+def java_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class of two log calls for each part, the second below a condition."""
+    p = table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    body = ["package app;\nclass C", key, ' {\n  void run(Logger logger, int userId, int count) {\n    logger.info("', F.col("p_name"), ' {}", userId);\n    if (count > 0) {\n      logger.warn("small " + count);\n    }\n  }\n}\n']
+    return p.select(F.concat(F.lit("src/C"), key, F.lit(".java")).alias("path"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in body]).alias("text"))
+
+
+@query("""WITH f AS (SELECT 'src/C' || p_partkey || '.java' AS path, 'app.C' || p_partkey AS class, p_name, row_number() OVER (ORDER BY 'src/C' || p_partkey || '.java') - 1 AS n FROM part)
+  SELECT CAST(NULL AS INTEGER) AS idom_id, CAST(2 * n AS INTEGER) AS event_id, path, 'app' AS package, class, 'run' AS method, 4 AS line_number, 'INFO' AS level, p_name || ' {UserId0}' AS template FROM f
+  UNION ALL SELECT CAST(2 * n AS INTEGER), CAST(2 * n + 1 AS INTEGER), path, 'app', class, 'run', 6, 'WARN', 'small {Count0}' FROM f""")
+def java_statements(spark, sf_dir):
+    return java.extract_statements(java_sources(spark, sf_dir))
+
+
+@query(r"""SELECT 'src/C' || p_partkey || '.java' AS path, 1 AS no,
+  md5('void run(Logger logger, int userId, int count) {' || chr(10) || '  // #LOG ASSOCIATE' || chr(10) || '  logger.info("' || p_name || ' {}", userId);' || chr(10) || '  if (count > 0) {' || chr(10)
+    || '    /* #LOG WARN small {Count0}' || chr(10) || '     * UserId0: userId' || chr(10) || '     */' || chr(10) || '    logger.warn("small " + count);' || chr(10) || '  }' || chr(10) || '}') AS digest FROM part""")
+def java_injections(spark, sf_dir):
+    return java.injection_reports(java_sources(spark, sf_dir)).select("path", "no", F.md5(F.col("source").cast("binary")).alias("digest"))
+
+
+# ---------------------------------------------------------------- streams, and the template parser
+
+
+@query(SQL["rolling_sequences"])
+def stream_rolling(spark, sf_dir):
+    folder = tables.scratch(spark, "events")
+    event_rows(spark, sf_dir).write.parquet(folder)
+    events = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    found = streaming.drain(streams.stream_rolling_sequences(events, window_us=DAY))
+    return found.select("stream", "seq", F.array_join("items", ">").alias("items"))
+
+
+@query(SQL["lookback_values"])
+def stream_lookback(spark, sf_dir):
+    folder = tables.scratch(spark, "events")
+    typed_events(spark, sf_dir).write.parquet(folder)
+    events = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    found = streaming.drain(streams.stream_lookback_values(events, PARENTS))
+    return found.select("stream", "seq", F.array_join("values", ",").alias("vals"))
+
+
+@query(rf"""WITH {_KINDS}, m AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line_no, event_type || ' value ' || CAST(round(value * 100) AS BIGINT) || ' by user ' || user_id AS message FROM events),
+  hits AS (SELECT user_id, line_no, message, template_id, list_filter([regexp_extract(message, pattern, 1), CASE WHEN template_id <> 4 THEN regexp_extract(message, pattern, 2) END, CASE WHEN template_id = 0 THEN regexp_extract(message, pattern, 3) END], lambda x: x IS NOT NULL) AS v
+    FROM m JOIN rx ON regexp_matches(message, pattern)),
+  scored AS (SELECT *, (length(message) - list_sum(list_transform(v, lambda x: length(x)))) / length(message) AS score FROM hits)
+  SELECT user_id AS file, line_no, '{{"' || template_id || '":' || CAST(to_json(list_sort(list_distinct(v))) AS VARCHAR) || '}}' AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, line_no ORDER BY score DESC, template_id) AS k FROM scored) WHERE k = 1""")
+def template_parse(spark, sf_dir):
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").join(messages(spark, sf_dir), "event_id")
+    lines = e.select(F.col("user_id").alias("file"), F.row_number().over(order).cast("long").alias("line_no"), F.col("message").alias("line"))
+    return template_parser.as_json(template_parser.parse_logs(lines, templates(spark).withColumn("idom_id", F.lit(None).cast("int"))))
+
 
-    order = Window.partitionBy("file_name").orderBy("line_number", "event_id")
-    return statements(spark, sf_dir).select("event_id", (F.row_number().over(order) - 1).cast("long").alias("place"))
+@query("""SELECT page_id, count(*) AS words FROM (SELECT page_id, html, unnest(string_split(html, ' ')) AS w FROM pages) WHERE contains(html, '<table') AND NOT contains(html, '<script') GROUP BY page_id""")
+def diff_java_lines(spark, sf_dir):
+    path = F.when(F.contains("html", F.lit("<table")), "a/B.java").otherwise("a/b.xml")
+    words = table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.contains("html", F.lit("<script")).alias("is_binary"), F.explode(F.split("html", " ")).alias("content"))
+    return diff.java_lines(words).groupBy("page_id").agg(F.count("*").alias("words"))

@@ -10,11 +10,12 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.text import LEVELS
 from logweave.operators.dominators import immediate_dominators
+from logweave.sources.tables import running_totals, stored
 
 TOKEN = re.compile(r'//[^\n]*|/\*.*?\*/|(?P<text>"""[ \t]*\n.*?(?<!\\)"""|"(?:\\.|[^"\\\n])*")|(?P<char>\'(?:\\.|[^\'\\])+\')|(?P<name>[^\W\d][\w$]*)|(?P<number>\d[\w.]*)|(?P<sign>->|::|[-+*/%&|^<>=!]=|\+\+|--|&&|\|\||\S)', re.S)
 ESCAPE = re.compile(r"\\(u+[0-9a-fA-F]{4}|[0-7]{1,3}|.)", re.S)
@@ -474,10 +475,9 @@ def extract_statements(sources: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=names)
             yield out.astype({"no": "Int32", "idom_no": "Int32", "line_number": "Int32"})
 
-    found = sources.select("path", "text").mapInPandas(kernel, FOUND)
-    # One row per file is numbered, not one per statement.
-    files = found.groupBy(F.col("path").alias("file")).agg(F.count("*").alias("n"))
-    first = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
-    files = files.select("file", F.coalesce(first, F.lit(0)).cast("int").alias("first"))
+    # Every file is parsed once.  Files are numbered, one row for each, and not statements.
+    found = stored(sources.select("path", "text").mapInPandas(kernel, FOUND), "found")
+    files = running_totals(found.groupBy("path").agg(F.count("*").alias("n")), "path", "n")
+    files = files.select(F.col("path").alias("file"), F.col("before").cast("int").alias("first"))
     rows = found.join(files, F.col("path").eqNullSafe(F.col("file")))
     return rows.select((F.col("idom_no") + F.col("first")).alias("idom_id"), (F.col("no") + F.col("first")).alias("event_id"), "path", "package", "class", "method", "line_number", "level", "template")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from logweave.operators.logs import LOOKBACK
+from logweave.operators.logs import LOOKBACK, height
 
 
 def stream_rolling_sequences(events: DataFrame, *, window_us: int, shortest: int = 2, longest: int = 16) -> DataFrame:
@@ -45,12 +45,7 @@ def stream_lookback_values(events: DataFrame, parents: dict[str, str], *, lookba
     The state holds the events that later ones can reach: `lookback` times the height of the forest of types.
     """
     value = events.schema["value"].dataType.simpleString()
-    height = 1
-    for child in parents:
-        n, k = 0, child
-        while k in parents and n <= len(parents):
-            n, k = n + 1, parents[k]
-        height = max(height, n)
+    steps = max(1, height(parents))
 
     def kernel(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(zip(*state.get, strict=True)) if state.exists else []
@@ -60,12 +55,12 @@ def stream_lookback_values(events: DataFrame, parents: dict[str, str], *, lookba
                 continue
             held.append((seq, kind, x))
             found, level = {x}, {(seq, kind)}
-            for _ in range(height):
+            for _ in range(steps):
                 level = {(s, k, v) for at, child in level if child in parents for s, k, v in held if k == parents[child] and at - lookback <= s < at}
                 found |= {v for _, _, v in level}
                 level = {(s, k) for s, k, _ in level}
             out.append((key[0], seq, sorted(v for v in found if v is not None)))
-            held = [r for r in held if r[0] > seq - lookback * height]
+            held = [r for r in held if r[0] > seq - lookback * steps]
         if held:
             state.update(tuple(list(c) for c in zip(*held, strict=True)))
         yield pd.DataFrame(out, columns=["stream", "seq", "values"])

@@ -37,9 +37,9 @@ def test_dominators_of_long_users(spark, tmp_path):
     types = {1: "signup view click signup view click error purchase error".split(), 2: "click view error click view error click purchase".split(), 3: "view click".split(), 4: ["view"], 5: "signup view click purchase signup signup signup purchase".split()}
     sf_dir = write_events(spark, tmp_path, types)
     want = {(u, x): ds for u, xs in types.items() for x, ds in dominators_of(xs).items()}
-    idom = {(r["method"], r["node"]): r["idom"] for r in core.QUERIES["cfg_dominators_whole"](spark, sf_dir).collect()}
+    idom = {(r["method"], r["node"]): r["idom"] for r in core.QUERIES["cfg_dominators"](spark, sf_dir).collect()}
     assert idom == {k: ds[-1] for k, ds in want.items()}
-    log = {(r["method"], r["node"]): r["log_idom"] for r in core.QUERIES["cfg_log_idom_whole"](spark, sf_dir).collect()}
+    log = {(r["method"], r["node"]): r["log_idom"] for r in core.QUERIES["cfg_log_idom"](spark, sf_dir).collect()}
     assert log == {k: next((d for d in reversed(ds) if d in ("error", "view")), None) for k, ds in want.items()}
     assert idom[1, "purchase"] == "error" and idom[5, "purchase"] == "signup"
 
