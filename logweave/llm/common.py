@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -40,28 +42,71 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, only where the session names none (tests), a folder of this process."""
+    """spark.checkpoint.dir; where the session names none, a folder of this process, if all of Spark runs in it."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="logweave-")
+        atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, *, partition_by: str | None = None) -> DataFrame:
+#: Intermediate tables of this process that still stand.
+_written: set[str] = set()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read back: its lineage is cut, and it outlives executors."""
     spark = prepare(df.sparkSession)
     path = f"{shared_folder(spark)}/logweave-{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _written.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table, wherever the shared folder is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.discard(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the table that stored() gave, once nothing is going to read it."""
+    for path in [x for x in _written if any(x in f for f in df.inputFiles())]:
+        remove(df.sparkSession, path)
+
+
+#: Managed tables of this process that still stand.
+tables: set[str] = set()
+
+
+def clear(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete all intermediate tables of this process but that of `keep`; results that read them must have been written."""
+    files = keep.inputFiles() if keep is not None else []
+    for path in list(_written):
+        if not any(path in f for f in files):
+            remove(spark, path)
+    while tables:
+        spark.sql(f"DROP TABLE IF EXISTS {tables.pop()}")
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Narrow rows that one task takes on with ease.
+ROWS = 200_000
+
+
+def in_tasks(rows: int) -> int:
+    """Into how many tasks so many narrow rows go: coalesced to these, small tables are not cut into ever smaller files."""
+    return rows // ROWS + 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -111,8 +156,20 @@ def prefix_sums(data: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of every word.  data: the texts' bytes, end to end; starts: where each begins; A-Z is lower-cased."""
+    a, b = word_bounds(data, starts)
+    out = np.empty(len(a), dtype=np.uint64)
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(b, a[i] + SLICE, "right")))
+        out[i:j] = _word_hashes(data, a[i:j], b[i:j])
+        i = j
+    return out, np.searchsorted(starts, a, "right") - 1
+
+
+def word_bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends."""
     if not len(data):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     inside = ~SEPARATOR[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[starts[starts < len(data)]] = True
@@ -121,17 +178,32 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     first[1:] &= ~inside[:-1] | edge[1:-1]
     last = inside.copy()
     last[:-1] &= ~inside[1:] | edge[1:-1]
-    a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    out = np.empty(len(a), dtype=np.uint64)
-    i = 0
-    while i < len(a):
-        j = max(i + 1, int(np.searchsorted(b, a[i] + SLICE, "right")))
-        lo, hi = a[i], b[j - 1]
-        s = prefix_sums(data[lo:hi], LOWER)
-        out[i:j] = (s[b[i:j] - lo] - s[a[i:j] - lo]) * powers(int(hi - lo) + 1)[1][a[i:j] - lo]
-        i = j
-    out += (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(out), np.searchsorted(starts, a, "right") - 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def _word_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each word data[a:b], the sum of numbers that stand for a byte at its place in the word.
+
+    A byte's number depends on its place through a mix, so no pattern of bytes cancels out, as powers of a base would.
+    """
+    lo, hi = int(a[0]), int(b[-1])
+    h = LOWER[data[lo:hi]]
+    place = np.arange(lo, hi, dtype=np.uint64)
+    place -= np.repeat(a.astype(np.uint64), np.diff(np.append(a, hi)))
+    place *= np.uint64(0xA0761D6478BD642F)
+    h ^= place
+    del place
+    shifted = np.empty_like(h)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        np.right_shift(h, np.uint64(shift), out=shifted)
+        h ^= shifted
+        h *= np.uint64(factor)
+    np.right_shift(h, np.uint64(31), out=shifted)
+    h ^= shifted
+    total = np.empty(len(h) + 1, dtype=np.uint64)
+    total[0] = 0
+    np.cumsum(h, out=total[1:])
+    return mix(total[b - lo] - total[a - lo] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -212,29 +284,69 @@ def _forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(r, pa.int64())], names=["a", "b"])
 
 
+#: A key with more than this part of all rows is joined by broadcast: there are fewer than PARTS of them.
+PARTS = 4096
+#: Bytes up to which a counted table is broadcast.
+BROADCAST = 8 << 20
+
+
+def attach(rows: DataFrame, values: DataFrame, key: str, *, salt: list[str] | None = None, width: int = 64) -> DataFrame:
+    """rows, left-joined to the other columns of values, which holds each key once, and as n the number of its rows.
+
+    Keys of more than one in PARTS rows, of which there are fewer than PARTS, come by broadcast, and their rows are then
+    dealt by a hash of the salt columns (all, unless named), as are those of a null key; all other keys are small.  Where
+    there are so few values, of about `width` bytes, that all can be broadcast, nothing is dealt.
+    """
+    total, count = values.agg(F.sum("n"), F.count("*")).first()
+    names = [x for x in values.columns if x not in (key, "n")]
+    if count * width <= BROADCAST:
+        few = values.select(F.col(key).alias("few_"), *[F.col(x).alias(f"few_{x}") for x in names])
+        return rows.join(F.broadcast(few), F.col(key) == F.col("few_"), "left").select(*rows.columns, *[F.col(f"few_{x}").alias(x) for x in names])
+    heavy = values.where(F.col("n") * PARTS > total).select(F.col(key).alias("heavy_"), *[F.col(x).alias(f"heavy_{x}") for x in names])
+    light = values.where(F.col("n") * PARTS <= total).select(F.col(key).alias("light_"), F.lit(-1).alias("unsalted_"), *[F.col(x).alias(f"light_{x}") for x in names])
+    out = rows.join(F.broadcast(heavy), F.col(key) == F.col("heavy_"), "left")
+    alone = F.col("heavy_").isNull() & F.col(key).isNotNull()
+    salted = F.pmod(F.xxhash64(*(salt or rows.columns)), F.lit(PARTS)).cast("int")
+    out = out.withColumns({"key_": F.when(alone, F.col(key)), "salt_": F.when(alone, -1).otherwise(salted)})
+    out = out.join(light.hint("shuffle_hash"), (F.col("key_") == F.col("light_")) & (F.col("salt_") == F.col("unsalted_")), "left")
+    return out.select(*rows.columns, *[F.coalesce(f"heavy_{x}", f"light_{x}").alias(x) for x in names])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of an undirected edge list (a, b): root is the smallest node of its component.
 
-    Each partition first shrinks its edges to a forest.  Then large-star and small-star steps alternate, each a
-    grouped minimum and a join, until the edges no longer change; every state is a table in the shared folder.
-    Links, nodes and labels stay on the executors; only a count and a checksum reach the driver.
+    Each partition first shrinks its edges to a forest, and equal edges become one.  Then large-star and small-star steps
+    alternate, each a grouped minimum and a join, until the edges no longer change; every state is a table in the shared
+    folder.  A step makes no more rows than there are edges, and the edges of a node that has many, such as the centre of a
+    star, are dealt to all tasks.  Links, nodes and labels stay on the executors; only a count
+    and a checksum reach the driver.
     """
-    spark = prepare(edges.sparkSession)
+    prepare(edges.sparkSession)
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
-    edges = stored(map_arrow(edges, _forests, "a long, b long"), "edges")
+    edges = stored(map_arrow(edges, _forests, "a long, b long").distinct(), "edges")
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    def lowest(e: DataFrame, tasks: int) -> DataFrame:
+        """Each node's lowest neighbour, and the number of its edges."""
+        return stored(e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).coalesce(tasks), "lowest")
+
     before = state(edges)
     while before[0]:
+        tasks = in_tasks(before[0])
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
-        edges = stored(small.where("a <> b").distinct(), "edges")
-        now = state(edges)
+        low = lowest(both, tasks)
+        up = attach(both.where("b > a"), low.select("a", F.least("a", "m").alias("m"), "n"), "a")
+        large = stored(up.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks), "large")
+        down = lowest(large, tasks)
+        small = attach(large, down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
+        small = small.where("a <> b").distinct().coalesce(tasks)
+        new = stored(map_arrow(small, _forests, "a long, b long").distinct().coalesce(tasks), "edges")
+        now = state(new)
+        for x in (edges, low, large, down):
+            dropped(x)
+        edges = new
         if now == before:
             break
         before = now
@@ -276,14 +388,27 @@ def map_arrow(df: DataFrame, kernel: Callable, schema: str | StructType) -> Data
 
 
 def by_group(kernel: Callable) -> Callable:
-    """kernel of a table, with freed memory given back after large groups."""
+    """kernel of a table, with freed memory given back after large groups and from time to time."""
+    done = [0]
 
     def run(t: pa.Table) -> pa.Table:
         only(kernel.__module__)
-        large = t.nbytes > 1 << 18
         out = kernel(t)
-        if large:
+        done[0] += 1
+        if t.nbytes > 1 << 18 or done[0] % 64 == 0:
             release()
         return out
 
     return run
+
+
+def by_cogroup(kernel: Callable) -> Callable:
+    """kernel of two tables, with freed memory given back after each."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        only(kernel.__module__)
+        out = kernel(left, right)
+        release()
+        return out
+
+    return run

@@ -3,9 +3,9 @@
 1. Every text becomes the set of hashes of its word n-grams; equal sets become one class, whose id is a 64-bit hash of
    the set.  Chunks of sets send their shingles to buckets, which count each over all chunks and send the counts back.
    Counts only order shingles: any order gives the same result.
-2. Each class sends its prefix, the rarest shingles that a partner must share, to buckets of shingles.  There the
-   lists are laid out by set size and cut into blocks wherever the next size is too large for a link; sets of one block
-   go to one cluster.  A link's two sets always share a prefix shingle in one block, so no link leaves its cluster.
+2. Each class sends its prefix, the rarest shingles that a partner must share, to buckets of shingles.  There, and before
+   in each chunk, the lists are laid out by set size and cut into blocks wherever the next size is too large for a link;
+   sets of one block go to one cluster.  A link's two sets always share a prefix shingle in one block, so no link leaves its cluster.
    A shingle of one class alone goes nowhere, so a class with too few shared shingles is in no cluster.
    One set of each class in a cluster then does both steps once more, with counts that no copies raise.
 3. Texts of a cluster meet in blocks of about BLOCK shingles.  A set's overlaps with all indexed sets come from the lists
@@ -14,13 +14,15 @@
 4. Components of the links, with copies counted by the size of their class.
 
 Memory: a task holds a chunk of sets, one bucket of shingles or two blocks of sets.  A cluster of any size is cut into pairs of blocks.
-Shingles and classes are told apart by 64-bit hashes.  Null and blank texts have the empty set and link with nothing;
+Hashes of shingles only propose clusters: overlaps are counted on words and n-grams that are compared as they are.  Sets
+of one 64-bit hash (BLAKE2b over all shingle hashes, of which a word's depend on each byte and its place) are taken as equal.  Null and blank texts have the empty set and link with nothing;
 rows that share a doc_id are one node of the links; rows of null doc_id are counted as partners and get a null
 component; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterable, Iterator
 
@@ -62,6 +64,55 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
                 yield np.empty(0, dtype=np.uint64)
 
 
+def exact_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, text number) of every word of texts data[at[i]:at[i + 1]]: equal words, and only these, have one number."""
+    numbers: dict[bytes, int] = {}
+    out, texts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    lower = np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+    for i, j in c.slices(at):
+        part = lower[data[at[i] : at[j]]]
+        h, text = c.words(part, at[i:j] - at[i])
+        a, b = c.word_bounds(part, at[i:j] - at[i])
+        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        which, n = which.reshape(-1), b - a
+        # Hashes only propose which words are equal: bytes decide.
+        like = first[which]
+        same = bool((n == n[like]).all())
+        for x in range(0, len(a) if same else 0, 1 << 17):
+            m, k = n[x : x + (1 << 17)], np.arange(x, min(x + (1 << 17), len(a)))
+            step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            same = same and bool((part[np.repeat(a[k], m) + step] == part[np.repeat(a[like[k]], m) + step]).all())
+        if not same:
+            first, which = np.arange(len(a)), np.arange(len(a))
+        known = np.array([numbers.setdefault(part[x:y].tobytes(), len(numbers)) for x, y in zip(a[first].tolist(), b[first].tolist(), strict=True)], dtype=np.int64)
+        out.append(known[which])
+        texts.append(text + i)
+    return np.concatenate(out), np.concatenate(texts)
+
+
+def exact_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """As shingle_sets, but with numbers that stand for one n-gram each among these texts, whatever hashes say."""
+    data, at = c.utf8(texts)
+    word, text = exact_words(data, at)
+    edges = np.searchsorted(text, np.arange(len(at)))
+    count = np.diff(edges)
+    # A text of fewer words is one n-gram, filled up with -1; no n-gram crosses a text's end.
+    begins = np.ones(len(word), dtype=bool)
+    left = edges[text + 1] - np.arange(len(word))
+    begins[(left < size) & (count[text] >= size)] = False
+    begins[(count[text] < size)] = False
+    begins[edges[:-1][(count > 0) & (count < size)]] = True
+    start = np.flatnonzero(begins)
+    gram = word[start]
+    for k in range(1, size):
+        have = left[start] > k
+        following = np.where(have, word[np.minimum(start + k, max(len(word) - 1, 0))], -1)
+        gram = np.unique(gram * (len(word) + 2) + following + 1, return_inverse=True)[1].reshape(-1)
+    cuts = np.searchsorted(start, edges)
+    return [np.unique(gram[x:y]).astype(np.uint64) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def _zip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts, packed one by one: they are about to be shuffled."""
     for b in batches:
@@ -93,9 +144,7 @@ def unzipped(column) -> pa.Array:
 
 def set_key(s: np.ndarray) -> int:
     """A hash of a set as a signed long."""
-    with np.errstate(over="ignore"):
-        h = c.mix(c.mix(s + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64, keepdims=True) ^ (np.uint64(len(s)) * _ODD[60]))
-    return int(h.view(np.int64)[0])
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def edges(buckets: int, bits: int) -> np.ndarray:
@@ -193,7 +242,11 @@ def least_overlap(a, b, percent: int):
 
 
 def _prefixes(percent: int, cuts: np.ndarray):
-    """Of each class of a chunk the shared tokens in its prefix, the rarest first; tokens of one class alone match none."""
+    """Of each class of a chunk the shared tokens in its prefix, the rarest first; tokens of one class alone match none.
+
+    A token's list is put together within the chunk: links between its sets, and one posting for each block of sizes, so
+    that a token that very many sets have sends few postings.
+    """
 
     def kernel(t: pa.Table) -> pa.Table:
         o = np.argsort(t.column("bucket").to_numpy())
@@ -218,45 +271,65 @@ def _prefixes(percent: int, cuts: np.ndarray):
         at = at[np.lexsort((token[at], df[at], owner[at]))]
         start = np.searchsorted(owner[at], np.arange(len(n)))
         at = at[np.arange(len(at)) - start[owner[at]] < room[owner[at]]]
-        at = at[np.argsort(token[at], kind="stable")]
+        at = at[np.lexsort((n[owner[at]], token[at]))]
         token, owner = token[at], owner[at]
+        new = blocks(token, n[owner], n[owner], percent)
+        # Sets of one block are linked here; for the block goes its first set, with the least and the largest size.
+        first = np.flatnonzero(new)
+        lead = owner[first[np.cumsum(new) - 1]] if len(first) else owner
+        x, y = c.roots(owner, lead)
+        token, owner, last = token[first], owner[first], n[owner[np.append(first[1:], len(owner)) - 1]] if len(first) else n[:0]
         ids, out = [], []
         edge = np.searchsorted(token, cuts)
         for i in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
-            x, y = edge[i], edge[i + 1]
-            sets, of = np.unique(owner[x:y], return_inverse=True)
-            out.append(_joined(c.pack(key[sets], n[sets].astype(np.uint32)), c.pack(np.diff(token[x:y], prepend=np.uint64(0)), of.reshape(-1).astype(np.uint32))))
+            p, q = edge[i], edge[i + 1]
+            sets, of = np.unique(owner[p:q], return_inverse=True)
+            out.append(_joined(c.pack(key[sets], n[sets].astype(np.uint32)), c.pack(np.diff(token[p:q], prepend=np.uint64(0)), of.reshape(-1).astype(np.uint32), last[p:q].astype(np.uint32))))
             ids.append(i)
-        return pa.table({"bucket": pa.array(ids, pa.int64()), "postings": pa.array(out, pa.binary())})
+        links = x != y
+        none, nothing = pa.nulls(int(links.sum()), pa.int64()), pa.nulls(len(ids), pa.int64())
+        return pa.table({
+            "bucket": pa.concat_arrays([pa.array(ids, pa.int64()), none]), "postings": pa.concat_arrays([pa.array(out, pa.binary()), pa.nulls(len(none), pa.binary())]),
+            "a": pa.concat_arrays([nothing, pa.array(key[x[links]])]), "b": pa.concat_arrays([nothing, pa.array(key[y[links]])]),
+        })
 
     return kernel
 
 
+def blocks(token: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
+    """Where, in ranges of sizes in order of token and low, a block begins: no set before it in the list could link with one from it on."""
+    new = np.ones(len(token), dtype=bool)
+    if len(token):
+        rank = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))
+        most = np.maximum.accumulate(rank << 33 | high.astype(np.int64)) & ((1 << 33) - 1)
+        new[1:] = (token[1:] != token[:-1]) | (100 * most[:-1] < percent * low[1:].astype(np.int64))
+    return new
+
+
 def _stars(percent: int):
-    """Of each shingle's list, sets that could link go to the first set of their block."""
+    """Of each shingle's list, the blocks' sets that could link go to the first set of their block."""
 
     def kernel(t: pa.Table) -> pa.Table:
         rows = t.column("postings").to_pylist()
-        token, key, n = [], [], []
+        token, key, low, high = [], [], [], []
         for r in rows:
             head, tail = _parted(r)
             keys, sizes = c.unpack(head, np.int64, np.uint32)
-            gaps, of = c.unpack(tail, np.uint64, np.uint32)
+            gaps, of, most = c.unpack(tail, np.uint64, np.uint32, np.uint32)
             token.append(np.cumsum(gaps, dtype=np.uint64))
             key.append(keys[of])
-            n.append(sizes[of])
-        token, key, n = np.concatenate(token), np.concatenate(key), np.concatenate(n).astype(np.int64)
+            low.append(sizes[of])
+            high.append(most)
+        token, key, low, high = (np.concatenate(x) for x in (token, key, low, high))
         o = np.argsort(token, kind="stable")
         same = np.zeros(len(o) + 1, dtype=bool)
         same[1:-1] = token[o][1:] == token[o][:-1]
         o = o[same[1:] | same[:-1]]
-        o = o[np.lexsort((key[o], n[o], token[o]))]
-        token, key, n = token[o], key[o], n[o]
-        new = np.ones(len(o), dtype=bool)
-        new[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])
+        o = o[np.lexsort((key[o], low[o], token[o]))]
+        token, key, low, high = token[o], key[o], low[o], high[o]
+        new = blocks(token, low, high, percent)
         lead = key[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))] if len(o) else key
-        pairs = np.unique(np.stack([key, lead], 1)[key != lead], axis=0) if len(o) else np.empty((0, 2), np.int64)
-        a, b = c.roots(pairs[:, 0], pairs[:, 1]) if len(pairs) else (pairs[:, 0], pairs[:, 0])
+        a, b = c.roots(key, lead)
         return pa.table({"a": a[a != b], "b": b[a != b]})
 
     return kernel
@@ -350,16 +423,16 @@ def _links(size: int, percent: int):
 
     def kernel(t: pa.Table) -> pa.Table:
         role, key, times = (t.column(x).to_numpy().copy() for x in ("role", "key", "times"))
-        sets = list(shingle_sets(unzipped(t.column("text")), size))
+        texts = unzipped(t.column("text"))
         # Rows of one doc_id may differ in text, or be the same: of each class and role one row stays.
         seen: set[tuple[int, int]] = set()
-        for i, (k, r, s) in enumerate(zip(key.tolist(), role.tolist(), sets, strict=True)):
+        for i, (k, r, s) in enumerate(zip(key.tolist(), role.tolist(), shingle_sets(texts, size), strict=True)):
             if (k, r) in seen or not len(s) or set_key(s) != k:
                 role[i] = 9
             else:
                 seen.add((k, r))
         keep = np.flatnonzero(role != 9)
-        sets, role, key, times = [sets[i] for i in keep], role[keep], key[keep], times[keep]
+        sets, role, key, times = exact_sets(texts.take(pa.array(keep)), size), role[keep], key[keep], times[keep]
         q, x = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
         links = np.zeros(len(sets), dtype=np.int64)
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -398,9 +471,10 @@ def _clusters(texts: DataFrame, total: int, size: int, percent: int, packed: boo
     tokens = profile.where("bucket >= 0").select("chunk", "bucket", "data").repartition(buckets, "bucket")
     counts = tokens.groupBy("bucket").applyInArrow(c.by_group(_counts(cuts)), "chunk long, bucket long, data binary")
     owners = profile.where("bucket = -1").select("chunk", "bucket", "data")
-    postings = owners.union(counts).groupBy("chunk").applyInArrow(c.by_group(_prefixes(percent, cuts)), "bucket long, postings binary")
-    stars = postings.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(c.by_group(_stars(percent)), "a long, b long")
-    clusters = c.stored(c.components(stars).withColumnRenamed("node", "key").withColumnRenamed("root", "cluster"), "clusters")
+    prefixes = c.stored(owners.union(counts).groupBy("chunk").applyInArrow(c.by_group(_prefixes(percent, cuts)), "bucket long, postings binary, a long, b long"), "prefixes")
+    postings = prefixes.where("bucket is not null").select("bucket", "postings").repartition(buckets, "bucket")
+    stars = postings.groupBy("bucket").applyInArrow(c.by_group(_stars(percent)), "a long, b long")
+    clusters = c.stored(c.components(stars.union(prefixes.where("bucket is null").select("a", "b"))).withColumnRenamed("node", "key").withColumnRenamed("root", "cluster"), "clusters")
     return profile.where("n is not null").select("doc_id", "n", "key"), clusters
 
 
