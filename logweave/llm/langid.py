@@ -9,6 +9,8 @@ suffix's, on top of those of all pages.  The posterior of a page is the product
 Counts are summed before they are shuffled, so a host may have any share of the pages; hosts and counts stay on the
 executors, and so do those of declared languages; only their sums reach the driver.  Null html has no text evidence, a null or odd url the empty host, a
 page without declared language no such evidence; without labelled documents there is no language, and all pages get null.
+Of languages with equal posteriors the first by name is taken.  Repeated rows count as pages of their own and get equal
+results; a page of any length is read whole, in time proportional to it; no pages give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,33 +29,73 @@ from logweave.llm import common as c
 #: Labelled documents read, buckets of trigrams, languages scored at a time, pages scored at a time if there are more languages.
 LABELLED, BUCKETS, LANGUAGES, PAGES = 20_000, 1 << 15, 64, 256
 Table = tuple[np.ndarray, np.ndarray, np.ndarray]
-#: Trigrams overlap, so a text counts as a third of its trigrams, and at most as so many: other evidence stays audible.
-EACH, MOST = 1 / 3, 400.0
+#: Trigrams overlap, so a text counts as a third of its trigrams.
+EACH = 1 / 3
 #: Weight, in pages, of each level's prior from the level above it.
 WEIGHT = 4.0
 
-_HIDDEN = re.compile(r"<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+_OPEN = re.compile(r"<!--|<(script|style|template|noscript)\b", re.I)
+_CLOSE = {x: re.compile(rf"</{x}\s*+>", re.I) for x in ("script", "style", "template", "noscript")} | {"": re.compile("-->")}
 _TAG = re.compile(r"<[^>]*>")
-_LANG = re.compile(r"""<html\b[^>]*?\s(?:xml:)?lang\s*=\s*["']?\s*([A-Za-z]{2,8})""", re.I)
-_META = re.compile(r"""<meta\b[^>]*?(?:http-equiv\s*=\s*["']?content-language|property\s*=\s*["']?og:locale)["']?[^>]*?content\s*=\s*["']?\s*([A-Za-z]{2,8})""", re.I)
-_HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
+_HTML, _META = re.compile(r"<html\b", re.I), re.compile(r"<meta\b", re.I)
+_LANG = re.compile(r"""\s(?:xml:)?lang\s*+=\s*+["']?+\s*+([A-Za-z]{2,8})""", re.I)
+_KIND = re.compile(r"""http-equiv\s*+=\s*+["']?+content-language|property\s*+=\s*+["']?+og:locale""", re.I)
+_CONTENT = re.compile(r"""content\s*+=\s*+["']?+\s*+([A-Za-z]{2,8})""", re.I)
+_HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)")
+_ADDRESS = re.compile(r"\[.*|\d{1,3}(?:\.\d{1,3}){3}")
+# Labels below which names are registered, as in co.uk.
+SECOND_LEVEL = frozenset("ac co com edu gob gouv gov ltd mil ne net nom or org plc sch".split())
 
 
 def text_of(page: str) -> str:
-    return entities.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    """The text outside of tags, comments and hidden elements, in time proportional to the page."""
+    out, done, unclosed = [], 0, set()
+    for m in _OPEN.finditer(page):
+        kind = (m[1] or "").lower()
+        if m.start() < done or kind in unclosed:
+            continue
+        end = _CLOSE[kind].search(page, m.end())
+        if end is None:
+            unclosed.add(kind)  # nor is there one further on
+            continue
+        out.append(page[done : m.start()])
+        done = end.end()
+    seen = " ".join([*out, page[done:]])
+    # Behind the last > nothing is a tag, and up to it every < begins one.
+    last = seen.rfind(">") + 1
+    return entities.unescape(_TAG.sub(" ", seen[:last]) + seen[last:])
+
+
+def _tags(begin: re.Pattern, page: str) -> Iterator[str]:
+    """What stands in tags of that beginning, up to the next >."""
+    done = 0
+    for m in begin.finditer(page):
+        if m.start() >= done:
+            done = page.find(">", m.end())
+            done = len(page) if done < 0 else done
+            yield page[m.end() : done]
 
 
 def declared(page: str) -> str | None:
-    m = _LANG.search(page) or _META.search(page)
-    return m[1].lower() if m else None
+    """The language of the html tag, or else of a meta tag, in time proportional to the page."""
+    for tag in _tags(_HTML, page):
+        if found := _LANG.search(tag):
+            return found[1].lower()
+    for tag in _tags(_META, page):
+        if (kind := _KIND.search(tag)) and (found := _CONTENT.search(tag, kind.end())):
+            return found[1].lower()
+    return None
 
 
 def host_of(url: str | None) -> tuple[str, str, str]:
-    """(host, domain, suffix)"""
+    """(host, registered domain, suffix); an address has its own domain and no suffix."""
     m = _HOST.match(url or "")
     host = m[1].lower().strip(".") if m else ""
+    if _ADDRESS.fullmatch(host):
+        return host, host, ""
     parts = host.split(".")
-    return host, ".".join(parts[-2:]), parts[-1]
+    n = 3 if len(parts) > 2 and len(parts[-1]) == 2 and parts[-2] in SECOND_LEVEL else 2
+    return host, ".".join(parts[-n:]), parts[-1]
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -112,7 +154,7 @@ def _block(table: Table, first: int, last: int) -> np.ndarray:
     return np.log((x + 0.1) / (x.sum(axis=1, keepdims=True) + 0.1 * BUCKETS))
 
 
-def _evidence(langs: list[str], table: Table):
+def _evidence(langs: list[str], table: Table, most: float):
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = [(i, min(i + LANGUAGES, len(langs))) for i in range(0, len(langs), LANGUAGES)]
         held = _block(table, *ranges[0]) if len(ranges) == 1 else None
@@ -129,7 +171,7 @@ def _evidence(langs: list[str], table: Table):
                         counts = trigrams(text_of(pages[r])) if counted is None else _dense(*counted[r])
                         n = counts.sum()
                         if n:
-                            lls[r, i:j] = (block @ counts) * (min(n * EACH, MOST) / n)
+                            lls[r, i:j] = (block @ counts) * (min(n * EACH, most) / n)
                 rows = []
                 for id_, url, page, ll in zip(ids, urls, pages, lls, strict=True):
                     ll = ll - ll.max()
@@ -142,20 +184,25 @@ def _evidence(langs: list[str], table: Table):
     return kernel
 
 
-def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
-    """(page_id, lang, probability, text_lang, declared, host) of every row of pages(page_id, url, html)."""
+def identify(pages: DataFrame, docs: DataFrame, *, most: float = 400.0) -> DataFrame:
+    """(page_id, lang, probability, text_lang, declared, host) of every row of pages(page_id, url, html).
+
+    most: the tempering of text evidence.  All trigrams of a text are counted, but their mean counts at most as often as
+    that, so that long texts do not drown the other evidence.
+    """
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     langs, table = fit(docs)
     if not langs:
         none = F.lit(None).cast("string")
         return pages.select("page_id", none.alias("lang"), F.lit(None).cast("double").alias("probability"), none.alias("text_lang"), none.alias("declared"), none.alias("host"))
-    seen = c.stored(c.map_arrow(pages, _evidence(langs, table), "page_id long, host string, domain string, suffix string, declared string, ll array<double>, p array<double>"), "evidence")
+    seen = c.stored(c.map_arrow(pages, _evidence(langs, table, most), "page_id long, host string, domain string, suffix string, declared string, ll array<double>, p array<double>"), "evidence")
     k = range(len(langs))
     add = [F.sum(F.col("p")[i]).alias(f"n{i}") for i in k]
 
     def level(rows: DataFrame, name: str, above: DataFrame | None, up: str | None) -> DataFrame:
-        """(name, n: counts of a group, prior: its shares, smoothed by those of the level above)"""
-        summed = rows.groupBy(*[x for x in (name, up) if x]).agg(*add).select(*[x for x in (name, up) if x], F.array(*[f"n{i}" for i in k]).alias("n"))
+        """(name, n: counts of a group, pages: its rows, prior: its shares, smoothed by those of the level above)"""
+        names = [x for x in (name, up) if x]
+        summed = rows.groupBy(*names).agg(F.count("*").alias("pages"), *add).select(*names, "pages", F.array(*[f"n{i}" for i in k]).alias("n"))
         if above is not None:
             summed = summed.join(above.select(F.col(up).alias("up_"), F.col("prior").alias("base")), F.col(up) == F.col("up_")).drop("up_")
         else:
@@ -168,17 +215,18 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     suffixes = level(seen, "suffix", None, None)
     domains = level(seen, "domain", suffixes, "suffix")
-    hosts = level(seen, "host", domains, "domain").select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("base").alias("host_base"))
+    hosts = c.stored(level(seen, "host", domains, "domain").select("host", F.col("n").alias("host_n"), F.col("base").alias("host_base"), F.col("pages").alias("n")), "hosts")
 
-    told = c.stored(seen.where("declared is not null").groupBy(F.col("declared").alias("told")).agg(*add).select("told", F.array(*[f"n{i}" for i in k]).alias("told_n")), "declared")
+    told = seen.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n"), *add)
+    told = c.stored(told.select("declared", "n", F.array(*[f"n{i}" for i in k]).alias("told_n")), "declared")
     whole = told.agg(F.count("*"), *[F.sum(F.col("told_n")[i]) for i in k]).first()
     totals = F.array(*[F.lit((x or 0.0) + 0.5 * (whole[0] + 1)) for x in whole[1:]])
     says = F.zip_with("told_n", totals, lambda n, total: F.log((n + 0.5) / total))
     zeros = F.array(*[F.lit(0.0)] * len(langs))
 
-    # Pages that declare nothing meet nothing, and must not all go to one task if told is too large to be broadcast.
-    key = F.coalesce("declared", F.concat(F.lit("-"), F.pmod(F.xxhash64("page_id", "host"), F.lit(4096)).cast("string")))
-    rows = seen.join(hosts, F.col("host") == F.col("h")).join(told, key == F.col("told"), "left")
+    # A host or a declared language may have any share of the pages.
+    rows = c.attach(seen, hosts, "host", salt=["page_id", "host"], width=64 + 16 * len(langs))
+    rows = c.attach(rows, told, "declared", salt=["page_id", "host"], width=64 + 8 * len(langs))
     # The page's own text must not come back as its host's: it is taken out of the counts.
     prior = F.zip_with(F.zip_with("host_n", "p", lambda n, p: F.greatest(n - p, F.lit(0.0))), "host_base", lambda n, q: F.log(n + WEIGHT * q))
     rows = rows.withColumn("s", F.zip_with(F.zip_with("ll", F.coalesce(says, zeros), lambda a, b: a + b), prior, lambda a, b: a + b))
