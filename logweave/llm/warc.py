@@ -176,8 +176,10 @@ def write_bundles(pages: DataFrame, *, least: int = 100) -> DataFrame:
     """A table (bundle, bytes, records) of pages(page_id, url, html), written to the shared folder."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    copies = pages.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    told = pages.join(copies.select(F.col("digest").alias("d"), "first").hint("shuffle_hash"), F.col("digest") == F.col("d"), "left")
+    large = pages.withColumn("large", F.when(F.octet_length("html") >= least, F.col("digest")))
+    # Counted before it is shuffled; the html of a digest that very many pages have is dealt to all tasks.
+    copies = large.where("large is not null").groupBy("large").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    told = c.attach(large, c.stored(copies, "copies"), "large", salt=["page_id", "digest"], width=128)
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return c.stored(c.map_arrow(told.select("page_id", "url", "html", "digest", refers_to.alias("refers_to")), _write, f"bundle long, bytes binary, records {RECORDS}"), "warc")
 
