@@ -8,8 +8,8 @@
 3. Pieces are ranked within their length, by task and by place in the task, and ranks are looked up in the patterns.
 
 A length of any number of pieces is counted before it is shuffled and ranked by task; the patterns' size is bounded by
-capacity, not by the documents.  Null text is empty and becomes a piece of the single id 0; repeated rows are
-documents of their own; other columns are ignored.
+capacity, not by the documents.  Null text is empty and becomes a piece of the single id 0; a text of any length is cut
+into pieces; repeated rows are documents of their own; an empty table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -294,5 +294,5 @@ def pack(docs: DataFrame, *, capacity: int = 2048, path: str | None = None, keep
     plan = layout({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    ranked = pieces.join(ahead, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", "ids", (F.col("ahead") + F.col("place")).alias("rank"))
+    ranked = pieces.join(ahead.hint("shuffle_hash"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", "ids", (F.col("ahead") + F.col("place")).alias("rank"))
     return c.map_arrow(ranked, _place(plan), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long")
