@@ -83,6 +83,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = counts.setdefault((e, fold), [0, 0])
                 n[0] += 1
                 n[1] += toxic
+    _entries_of.cache_clear()
     keep = list(counts)
     yield pa.RecordBatch.from_arrays(
         [pa.array([k[0] for k in keep], pa.string()), pa.array([k[1] for k in keep], pa.int64()), pa.array([counts[k][0] for k in keep], pa.int64()), pa.array([counts[k][1] for k in keep], pa.int64())],
