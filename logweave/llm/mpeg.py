@@ -8,7 +8,8 @@ Reader: skips ID3v2 and ID3v1 tags, finds the first header that is followed by a
 header to header; where one does not follow, it looks for the next that does.  It parses Xing, Info and VBRI tables,
 verifies checksums, and gives exact durations in samples and the byte offset of every frame.
 
-A row's media take its text's bytes and a fortieth more.  Null text is empty; other columns are ignored.
+A row's media take its text's bytes and a fortieth more, and a text of any length is one row's.  Null text is empty;
+repeated rows and equal texts get equal media; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

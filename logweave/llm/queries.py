@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logweave.llm import chat, embeddings, jaccard, langid, mixing, mpeg, packing, suffix, toxicity, warc
-from logweave.llm.common import table
+from logweave.llm.common import stored, table
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpeg.read_media(mpeg.write_media(table(spark, sf_dir, "documents"))).drop("seek_offsets")
+    return mpeg.read_media(mpeg.write_media(table(spark, sf_dir, "documents")))
 
 
 def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
     )
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.read_back(chat.format_turns(conversations.union(extra)))
+    return chat.read_back(stored(chat.format_turns(conversations.union(extra)), "turns"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
