@@ -241,8 +241,7 @@ def brute_repeats(rows, length=100):
 
 def test_suffix(docs, odd_docs, no_docs):
     assert sorted(rows_of(suffix.remove_repeats(docs).drop("kept")), key=str) == brute_repeats(rows_of(docs.select("doc_id", "text")))
-    some = odd_docs.where("doc_id is null or doc_id not in (9, 10)")
-    assert sorted(rows_of(suffix.remove_repeats(some).drop("kept")), key=str) == brute_repeats(rows_of(some.select("doc_id", "text")))
+    assert sorted(rows_of(suffix.remove_repeats(odd_docs).drop("kept")), key=str) == brute_repeats(rows_of(odd_docs.select("doc_id", "text")))
     assert suffix.remove_repeats(no_docs).count() == 0
     whole = suffix.without_repeats(odd_docs)
     assert whole.columns == odd_docs.columns and whole.count() == odd_docs.count()
@@ -250,14 +249,33 @@ def test_suffix(docs, odd_docs, no_docs):
 
 def test_equal_prefixes():
     rnd = np.random.default_rng(6)
-    for n in (1, 2, 50, 400):
-        text = rnd.integers(1, 3, n).astype(np.int16)
-        text[-1] = 0
-        sa = suffix.suffix_array(text, 16)
-        known = suffix.equal_prefixes(text, sa, 8)
-        pre = [tuple(text[i : i + 8]) for i in sa]
-        whole = [len(p) == 8 and 0 not in p for p in pre]
-        assert all(known[k] == (pre[k] != pre[k - 1]) for k in range(1, n) if whole[k] and whole[k - 1])
+    for n, symbols in ((1, 3), (2, 3), (50, 3), (400, 3), (400, 2), (900, 5), (900, 40)):
+        for gaps in (1, 0.02, 0.2):
+            text = rnd.integers(1, symbols, n).astype(np.int16) if symbols > 2 else np.ones(n, np.int16)
+            text[rnd.random(n) < gaps / 4] = 0
+            text[-1] = 0
+            sa = suffix.suffix_array(text)
+            whole = [tuple(text[i : i + 1 + int(np.argmin(text[i:] != 0))]) for i in range(n)]
+            assert sa.tolist() == sorted(range(n), key=lambda i: (whole[i], i))
+            for length in (1, 3, 8):
+                group = np.cumsum(suffix.equal_prefixes(text, sa, length))
+                pre = {int(i): whole[i][:length] for i in sa if len(whole[i]) > length}
+                rows = [(group[k], pre[int(i)]) for k, i in enumerate(sa) if int(i) in pre]
+                assert len(set(rows)) == len({r[0] for r in rows}) == len({r[1] for r in rows})
+
+
+def test_hot_gram_and_repeats(spark):
+    """A passage that is cut short and goes on in many ways, in many texts, and very long texts."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    common = " ".join(word() for _ in range(40))
+    rows = []
+    for k in range(300):
+        a, b = sorted(rnd.sample(range(len(common)), 2))
+        rows.append((k // 2 * (-1) ** k, f"{word()} {word()} {common[a:b]} {word()} {word()} {common[: rnd.randrange(280)]}"))
+    rows += [(None, common), (900, "é" * 3000), (901, "a b c " * 2000), (902, "x" * 5000), (903, common + "x" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(rows_of(suffix.remove_repeats(df).drop("kept")), key=str) == brute_repeats(rows)
 
 
 # ---------------------------------------------------------------- 9
