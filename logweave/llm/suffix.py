@@ -4,19 +4,22 @@
    smallest hash among its GRAM-byte grams; a run of windows with the same gram is one stretch.  What a window belongs to
    depends on its bytes alone, so equal windows lie at the same place of stretches with the same gram.
 2. Hashes of (gram, stretch), one of each per chunk, meet in buckets of grams.  Every stretch but the first of equal ones
-   is repeated as a whole.  Two kinds of stretch with a window in common also have in common the half of the other
-   bytes of a window that stands before the gram, or that after it; hashes of these tell which first stretches to compare.
-   Only those go on as bytes.
+   is repeated as a whole.  A window has the half of its other bytes before its gram, or behind it; two kinds of stretch
+   with a window in common have the bytes of that half in common, and hashes of these tell which sides of first stretches
+   to compare, and with which others.  Only those sides go on as bytes, each to the bucket of its gram and half, so
+   stretches of one common gram part by their halves; of equal sides in a chunk only the first goes.
 3. Those are joined into one text per bucket, with a suffix array by prefix doubling.  Threshold-bounded interval
-   expansion on its Burrows-Wheeler transform gives the common prefixes: breadth first, boundaries of value l, prolonged
-   to the left by one byte, give those of value l + 1, and all stops at `length`.  What is left without a boundary are
-   the intervals of equal windows; all but the earliest window of an interval are repeated.
+   expansion on its Burrows-Wheeler transform gives the common prefixes by increasing value: a queue holds the intervals
+   of strings of l bytes, each is extended to the left by every byte before it, and where a new interval ends without a
+   boundary there is one of value l, and that interval is queued; all stops at `length`.  What is left without a boundary
+   are the intervals of equal windows; all but the earliest window of an interval are repeated.
 4. Ranges return to their chunks, where the bytes are cut out.
 
-Memory: a task holds one chunk, or one bucket of hashes or of stretches.  A passage that stands in a third of all texts
-is sent once per chunk.  Stretches of one gram are told apart by 64-bit hashes.  Order is by doc_id, null last; rows that
-share a doc_id come in the order of the input.  Null text is empty; a text shorter than `length` keeps all its bytes;
-other columns are ignored.
+Memory: a task holds one chunk, or one bucket of hashes or of sides.  A passage that stands in a third of all texts is
+sent once per chunk.  Equal stretches are told by a 40-bit hash of their gram and two 64-bit hashes of their bytes, not
+byte for byte.  Order is by doc_id, null last; rows that share a doc_id come in the order of the input.  Null text is
+empty; a text shorter than `length` keeps all its bytes, and one of any length is taken whole; an empty table gives no
+rows; other columns are ignored, or carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +41,10 @@ from logweave.llm import common as c
 #: Bytes of a gram, of a chunk, of the stretches in a bucket; hashes in a bucket.
 GRAM, CHUNK, STRETCHES, HASHES = 24, 4 << 20, 1 << 17, 500_000
 NULL_ID = np.iinfo(np.int64).max
+#: A second number of 64 bits for each byte value.
+OTHER = c.mix(c.BYTES ^ np.uint64(0x2545F4914F6CDD1D))
+#: What becomes of a stretch: nothing, all of it is repeated, or its windows with more before or behind the gram are compared.
+WHOLE, BEFORE, BEHIND = 1, 2, 4
 
 
 def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +96,7 @@ def chunk_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def stretches(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(gram, hash, first window, last window, hash before, hash after) of every stretch, in order.
+    """(gram, hash, first window, last window, hash before, hash after, where the gram begins, second hash) of every stretch.
 
     Windows are named by their first byte; the hashes before and after the gram are 0 where the stretch ends too early.
     """
@@ -97,7 +104,7 @@ def stretches(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray
     span, half = length - GRAM + 1, (length - GRAM + 1) // 2
     for lo in range(0, max(len(data) - length + 1, 0), c.SLICE):
         d = data[lo : lo + c.SLICE + length - 1]
-        s = c.prefix_sums(d, c.BYTES)
+        s, s2 = c.prefix_sums(d, c.BYTES), c.prefix_sums(d, OTHER)
         inverse = c.powers(len(d) + 1)[1]
         h = c.mix((s[GRAM:] - s[:-GRAM]) * inverse[: len(d) - GRAM + 1])
         h = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
@@ -119,21 +126,31 @@ def stretches(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray
         a, b = np.flatnonzero(new), np.flatnonzero(end)
         p = (h[a] & np.uint64(0xFFFFFF)).astype(np.int64)
         v = (s[b + length] - s[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (p - a).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        w = (s2[b + length] - s2[a]) * inverse[a]
         x, y = np.maximum(p - half, a), np.minimum(p + GRAM + half, b + length)
         before = np.where(p - half >= a, c.mix((s[p] - s[x]) * inverse[x]) >> np.uint64(32) | np.uint64(1), np.uint64(0))
         after = np.where(p + GRAM + half <= b + length, c.mix((s[y] - s[p + GRAM]) * inverse[p + GRAM]) >> np.uint64(32) | np.uint64(1), np.uint64(0))
-        out.append((h[a] >> np.uint64(24), c.mix(v), a + lo, b + lo, before.astype(np.uint32), after.astype(np.uint32)))
-    types = (np.uint64, np.uint64, np.int64, np.int64, np.uint32, np.uint32)
+        out.append((h[a] >> np.uint64(24), c.mix(v), a + lo, b + lo, before.astype(np.uint32), after.astype(np.uint32), p + lo, c.mix(w)))
+    types = (np.uint64, np.uint64, np.int64, np.int64, np.uint32, np.uint32, np.int64, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.empty(0, t) for t in types)
 
 
-def first_of_chunk(gram: np.ndarray, h: np.ndarray) -> np.ndarray:
+def first_of_chunk(gram: np.ndarray, h: np.ndarray, h2: np.ndarray) -> np.ndarray:
     """Whether a stretch is the first of its kind in its chunk."""
+    order = np.lexsort((np.arange(len(h)), h2, h, gram))
     first = np.zeros(len(h), dtype=bool)
-    first[np.unique(c.mix(h ^ (gram * np.uint64(c.BASE))), return_index=True)[1]] = True
+    first[order[new_runs(gram[order], h[order], h2[order])]] = True
     return first
 
 
+def new_runs(*columns: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the row before."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return new
+
+
 def by_bucket(gram: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     bucket = (c.mix(gram + np.uint64(77)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -147,69 +164,81 @@ def _hashes(length: int, buckets: int):
             for k in range(b.num_rows):
                 t = pa.Table.from_batches([b.slice(k, 1)])
                 ids, at, data = chunk_of(t)
-                gram, h, a, _, before, after = stretches(data, at, length)
-                first = np.flatnonzero(first_of_chunk(gram, h))
+                gram, h, a, _, before, after, _, h2 = stretches(data, at, length)
+                first = np.flatnonzero(first_of_chunk(gram, h, h2))
                 row = np.searchsorted(at, a[first], "right") - 1
                 parts = by_bucket(gram[first], buckets)
-                rows = [c.pack(gram[first[i]], h[first[i]], ids[row[i]], a[first[i]].astype(np.uint32), before[first[i]], after[first[i]]) for _, i in parts]
+                rows = [c.pack(gram[first[i]], h[first[i]], h2[first[i]], ids[row[i]], a[first[i]].astype(np.uint32), before[first[i]], after[first[i]]) for _, i in parts]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in parts], pa.int64()), pa.array([t.column("chunk")[0].as_py()] * len(parts), pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "chunk", "hashes"])
 
     return kernel
 
 
 def _statuses(t: pa.Table) -> pa.Table:
-    """For each stretch of a bucket: 0 unique, 1 repeated as a whole, 2 the first of a kind that may share a window with another kind."""
+    """For each stretch of a bucket what becomes of it: a later one of a kind is repeated as a whole, and the first of a kind
+    has the sides compared that another kind has too."""
     chunk = t.column("chunk").to_numpy()
-    parts = [c.unpack(x.as_py(), np.uint64, np.uint64, np.int64, np.uint32, np.uint32, np.uint32) for x in t.column("hashes")]
+    parts = [c.unpack(x.as_py(), np.uint64, np.uint64, np.uint64, np.int64, np.uint32, np.uint32, np.uint32) for x in t.column("hashes")]
     lens = np.array([len(p[0]) for p in parts])
-    gram, h, id_, a, before, after = (np.concatenate([p[k] for p in parts]) for k in range(6))
-    order = np.lexsort((a, np.repeat(chunk, lens), id_, h, gram))
-    g, v = gram[order], h[order]
-    new_kind = np.ones(len(g), bool)
-    new_kind[1:] = (g[1:] != g[:-1]) | (v[1:] != v[:-1])
-    kinds = order[new_kind]
-    shared = np.zeros(len(kinds), bool)
-    for side in (before[kinds], after[kinds]):
+    gram, h, h2, id_, a, before, after = (np.concatenate([p[k] for p in parts]) for k in range(7))
+    order = np.lexsort((a, np.repeat(chunk, lens), id_, h2, h, gram))
+    kinds = order[new_runs(gram[order], h[order], h2[order])]
+    status = np.full(len(gram), WHOLE, np.uint8)
+    status[kinds] = 0
+    for bit, side in ((BEFORE, before[kinds]), (BEHIND, after[kinds])):
         _, at, n = np.unique(c.mix(c.mix(gram[kinds]) + side), return_inverse=True, return_counts=True)
-        shared |= (n[at.reshape(-1)] > 1) & (side > 0)
-    status = np.ones(len(g), np.uint8)
-    status[kinds] = np.where(shared, 2, 0)
+        status[kinds[(n[at.reshape(-1)] > 1) & (side > 0)]] |= np.uint8(bit)
     out = np.split(status, np.cumsum(lens)[:-1])
     keep = [i for i, s in enumerate(out) if s.any()]
     return pa.table({"chunk": pa.array(chunk[keep], pa.int64()), "bucket": pa.array([t.column("bucket")[0].as_py()] * len(keep), pa.int64()), "status": pa.array([c.pack(out[i]) for i in keep], pa.binary())})
 
 
 def _resolve(length: int, buckets: int, groups: int):
-    """From a chunk and its statuses: kind 0, the byte ranges repeated as whole stretches; kind 1, the stretches to compare."""
+    """From a chunk and its statuses: kind 0, the byte ranges repeated as whole stretches; kind 1, the sides to compare."""
+    half = (length - GRAM + 1) // 2
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"kind": [], "place": [], "data": []}
         if left.num_rows:
             ids, at, data = chunk_of(left)
             chunk = left.column("chunk")[0].as_py()
-            gram, h, a, b, _, _ = stretches(data, at, length)
-            first = first_of_chunk(gram, h)
-            status = np.ones(len(gram), np.uint8)
+            gram, h, a, b, before, after, p, h2 = stretches(data, at, length)
+            first = first_of_chunk(gram, h, h2)
+            status = np.full(len(gram), WHOLE, np.uint8)
             status[first] = 0
             told = dict(zip(right.column("bucket").to_pylist(), right.column("status").to_pylist(), strict=True))
             where = np.flatnonzero(first)
             for bucket, i in by_bucket(gram[where], buckets):
                 if bucket in told:
                     status[where[i]] = c.unpack(told[bucket], np.uint8)[0]
-            whole = status == 1
-            if whole.any():
+            # Windows with at least half of the other bytes before the gram, and the others.
+            x, y = np.flatnonzero(status & BEFORE), np.flatnonzero(status & BEHIND)
+            key = np.concatenate([c.mix(c.mix(gram[x]) + before[x]), c.mix(c.mix(gram[y]) + after[y]) + np.uint64(1)])
+            begin, end = np.concatenate([a[x], np.maximum(a[y], p[y] - half + 1)]), np.concatenate([np.minimum(b[x], p[x] - half), b[y]])
+            some = begin <= end
+            key, begin, end = key[some], begin[some], end[some]
+            texts = [data[i:j].tobytes() for i, j in zip(begin.tolist(), (end + length).tolist(), strict=True)]
+            # Of equal sides the first goes: in order of place, which is that of the documents.
+            seen: set[tuple[int, bytes]] = set()
+            again = np.zeros(len(key), dtype=bool)
+            for i in np.argsort(begin, kind="stable").tolist():
+                kind = (int(key[i]), texts[i])
+                again[i] = kind in seen
+                seen.add(kind)
+            whole = status == WHOLE
+            gone = merged(np.concatenate([a[whole], begin[again]]), np.concatenate([b[whole], end[again]]) + length)
+            if len(gone[0]):
                 out["kind"].append(0)
                 out["place"].append(chunk)
-                out["data"].append(c.pack(*merged(a[whole], b[whole] + length)))
-            where = np.flatnonzero(status == 2)
-            row = np.searchsorted(at, a[where], "right") - 1
-            for group, i in by_bucket(gram[where], groups):
+                out["data"].append(c.pack(*gone))
+            where = np.flatnonzero(~again)
+            row = np.searchsorted(at, begin[where], "right") - 1
+            for group, i in by_bucket(key[where], groups):
                 w = where[i]
-                text = b"".join(data[x:y].tobytes() for x, y in zip(a[w], b[w] + length, strict=True))
-                head = c.pack(ids[row[i]], a[w], (b[w] - a[w]).astype(np.uint32))
+                head = c.pack(ids[row[i]], begin[w], (end[w] - begin[w]).astype(np.uint32))
                 out["kind"].append(1)
                 out["place"].append(group)
-                out["data"].append(len(head).to_bytes(8, "little") + chunk.to_bytes(8, "little") + head + zstandard.compress(text, 1))
+                out["data"].append(len(head).to_bytes(8, "little") + chunk.to_bytes(8, "little") + head + zstandard.compress(b"".join(texts[k] for k in w.tolist()), 1))
         return pa.table({"kind": pa.array(out["kind"], pa.int32()), "place": pa.array(out["place"], pa.int64()), "data": pa.array(out["data"], pa.binary())})
 
     return kernel
@@ -227,18 +256,24 @@ def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[at].astype(np.int64), b[np.append(at[1:], len(a)) - 1].astype(np.int64)
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in order of their first `depth` symbols at least, by prefix doubling.  text: symbols below 512, 0 after the end."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Positions in order of what stands from there to the next 0, by prefix doubling; equal ones in order of place.
+
+    text: symbols below 512, with a 0 at the end of each of its parts.
+    """
     n = len(text)
+    left = np.full(n, n, dtype=np.int64)  # symbols up to the next 0
+    zeros = np.flatnonzero(text == 0)
+    left = zeros[np.searchsorted(zeros, np.arange(n))] - np.arange(n)
     key = np.zeros(n, dtype=np.int64)
     padded = np.concatenate([text.astype(np.int64), np.zeros(7, np.int64)])
     for k in range(7):
-        key = key << 9 | padded[k : k + n]
-    have = 7
+        key = key << 9 | np.where(left >= k, padded[k : k + n], 0)
+    have, longest = 7, int(left.max(initial=0)) + 1
     rank = np.unique(key, return_inverse=True)[1].reshape(-1).astype(np.int64) + 1
-    while have < depth and rank.max() < n:
+    while have < longest:
         later = np.zeros(n, dtype=np.int64)
-        later[: n - have] = rank[have:]
+        later[: n - have] = np.where(left[: n - have] >= have, rank[have:], 0)
         rank = np.unique(rank * (n + 1) + later, return_inverse=True)[1].reshape(-1).astype(np.int64) + 1
         have *= 2
     return np.argsort(rank, kind="stable")
@@ -247,29 +282,37 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 def equal_prefixes(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
     """For each row of the suffix array, whether it begins an interval of suffixes that share their first `length` symbols.
 
-    Breadth-first backward extension: a boundary of value l between two rows gives one of value l + 1 between the rows
-    that stand one symbol further left, if that symbol is the same.  Values of `length` and more are never derived.
+    Intervals of strings of l symbols are extended to the left by each symbol of the Burrows-Wheeler transform in them.
+    The rows of an extended string are again an interval; if no boundary is known where it ends, that one has value l, and
+    the interval is queued for l + 1.  Every boundary is found once, in order of value; those of `length` and more never are.
     """
     n = len(sa)
     kind = np.int32 if n < 1 << 31 else np.int64
-    place = np.empty(n + 1, dtype=kind)
-    place[sa] = np.arange(n, dtype=kind)
-    place[n] = -1  # the empty suffix comes before all others
-    first = text[sa]
-    known = np.ones(n, dtype=bool)
-    known[1:] = first[1:] != first[:-1]
-    right = place[sa + 1]
-    rows = np.flatnonzero(~known[1:]).astype(kind) + 1
-    lo, hi = np.minimum(right[rows], right[rows - 1]), np.maximum(right[rows], right[rows - 1])
-    upto = np.zeros(n + 1, dtype=kind)  # boundaries before a row
-    for _ in range(1, length):
-        np.cumsum(known, out=upto[1:])
-        hit = (upto[hi + 1] > upto[lo + 1]) | (lo < 0)
-        if not hit.any():
+    transform = text[sa - 1]
+    # The rows whose suffixes are longer by the symbol before: among rows of one symbol the order stays.
+    longer = np.empty(n, dtype=kind)
+    longer[np.argsort(transform, kind="stable")] = np.arange(n, dtype=kind)
+    known = np.zeros(n + 1, dtype=bool)
+    known[[0, n]] = True
+    low, high = np.zeros(1, dtype=kind), np.full(1, n, dtype=kind)
+    for value in range(length):
+        size = (high - low).astype(np.int64)
+        if not len(size):
             break
-        known[rows[hit]] = True
-        rows, lo, hi = rows[~hit], lo[~hit], hi[~hit]
-    return known
+        of = np.repeat(np.arange(len(size), dtype=kind), size)
+        rows = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+        if value:  # no string goes on beyond an end
+            inside = transform[rows] > 0
+            rows, of = rows[inside], of[inside]
+        to = longer[rows]
+        order = np.argsort(to)
+        to, of, symbol = to[order], of[order], transform[rows[order]]
+        first = np.flatnonzero(new_runs(of, symbol))
+        low, high = to[first], to[np.append(first[1:], len(to)) - 1] + 1 if len(first) else to[first]
+        new = ~known[high]
+        low, high = low[new], high[new]
+        known[high] = True
+    return known[:n]
 
 
 def _compare(length: int):
@@ -293,7 +336,7 @@ def _compare(length: int):
         starts = np.concatenate([[0], np.cumsum(lens + 1)])
         text = np.frombuffer(b"".join(texts[i] + b"\0" for i in order), np.uint8).astype(np.int16) + 1
         text[starts[1:] - 1] = 0
-        sa = suffix_array(text, length)
+        sa = suffix_array(text)
         interval = np.cumsum(equal_prefixes(text, sa, length)) - 1
         owner = np.repeat(np.arange(len(lens)), lens + 1)
         valid = np.arange(len(text)) + length < starts[owner + 1]
@@ -365,6 +408,7 @@ def _ranges(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     # Bucketed, so that the two later passes over the bytes read them where they are and shuffle small columns only.
     rows = c.map_arrow(docs, _chunks, "chunk long, ids binary, lengths binary, bytes binary, carried binary")
     rows.write.format("parquet").option("compression", "zstd").bucketBy(least, "chunk").saveAsTable(name)
+    c.tables.add(name)
     chunks = spark.table(name)
     size = chunks.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     buckets = max(least, size * 2 // (length - GRAM + 2) // HASHES + 1)
@@ -373,7 +417,7 @@ def _ranges(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     statuses = hashes.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(c.by_group(_statuses), "chunk long, bucket long, status binary")
     groups = max(least, size // 16 // STRETCHES + 1)  # arrays of so few bytes stay in a core's cache
     resolve = _resolve(length, buckets, groups)
-    told = c.stored(bare.groupBy("chunk").cogroup(statuses.groupBy("chunk")).applyInArrow(resolve, "kind int, place long, data binary"), "ranges")
+    told = c.stored(bare.groupBy("chunk").cogroup(statuses.groupBy("chunk")).applyInArrow(c.by_cogroup(resolve), "kind int, place long, data binary"), "ranges")
     compared = told.where("kind = 1").repartition(groups, "place").groupBy("place").applyInArrow(c.by_group(_compare(length)), "place long, data binary")
     return chunks, told.where("kind = 0").select("place", "data").union(compared)
 
@@ -382,7 +426,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row of docs(doc_id, text); kept holds the bytes that stay."""
     chunks, ranges = _ranges(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), length)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return chunks.drop("carried").groupBy("chunk").cogroup(ranges.groupBy("place")).applyInArrow(_cut, schema)
+    return chunks.drop("carried").groupBy("chunk").cogroup(ranges.groupBy("place")).applyInArrow(c.by_cogroup(_cut), schema)
 
 
 def without_repeats(docs: DataFrame, *, length: int = 100) -> DataFrame:
@@ -391,4 +435,4 @@ def without_repeats(docs: DataFrame, *, length: int = 100) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
     chunks, ranges = _ranges(rows, length)
     cut = _cut_rows(to_arrow_schema(rows.schema))
-    return chunks.groupBy("chunk").cogroup(ranges.groupBy("place")).applyInArrow(cut, rows.schema).select(*docs.columns)
+    return chunks.groupBy("chunk").cogroup(ranges.groupBy("place")).applyInArrow(c.by_cogroup(cut), rows.schema).select(*docs.columns)
