@@ -1,7 +1,10 @@
 """A corpus pipeline of five stages over documents, each on all that the stage before it kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it to the shared folder as Parquet and
-reads it again as the next stage's docs.  All stages but the last return the columns of documents.
+reads it again as the next stage's docs.  All stages but the last return the columns of documents, others than doc_id,
+text, source and n_chars as they are, whatever their names.  Null and blank texts are scored, link with nothing, lose
+nothing, are mixed 0 times (so are all documents without words), and rows of null or repeated doc_id are documents of
+their own; texts of any length are read whole; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import jaccard, mixing, packing, suffix, toxicity
-from logweave.llm.common import stored, table
+from logweave.llm.common import clear, stored, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,4 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        clear(spark, keep=docs)  # all that the stage wrote on its way
     return docs
