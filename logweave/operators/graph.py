@@ -59,13 +59,32 @@ def paths(statements: DataFrame) -> DataFrame:
     return leaves(statements).select("event_id").join(above, "event_id", "left").select("event_id", path.alias("path"))
 
 
+def ancestor_counts(statements: DataFrame) -> DataFrame:
+    """(event_id, n): of statements(event_id, idom_id, flag), how many dominators have the flag.
+
+    Counts over jumps are doubled with the jumps, so a state has one row for each statement, whatever the forest's height.
+    """
+    flags = statements.select(F.col("event_id").alias("above"), F.col("flag").cast("long").alias("has"))
+    state = statements.select("event_id", F.col("idom_id").alias("far")).join(flags, F.col("far") == F.col("above"), "left")
+    state = stored(state.select("event_id", "far", F.coalesce("has", F.lit(0)).cast("long").alias("n")), "counts")
+    rounds = state.count().bit_length() + 1
+    while not state.where("far is not null").isEmpty():
+        if not rounds:
+            raise ValueError("the statements' idoms form a cycle")
+        rounds -= 1
+        onward = state.select(F.col("event_id").alias("above"), F.col("far").alias("farther"), F.col("n").alias("more"))
+        state = state.join(onward, F.col("far") == F.col("above"), "left")
+        state = stored(state.select("event_id", F.col("farther").alias("far"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "counts")
+    return state.select("event_id", "n")
+
+
 def statement_stats(statements: DataFrame) -> DataFrame:
     """Counts of statements, of those with an identifier variable, of (statement, dominator with one) pairs, and of statements in such pairs."""
-    flagged = statements.select("event_id", "idom_id", F.exists(t.variables(F.col("template")), t.is_id).alias("has_id"))
-    ids = flagged.where("has_id").select(F.col("event_id").alias("ancestor"))
-    pairs = dominator_chain(statements).join(ids, "ancestor", "left_semi").agg(F.count("*").alias("stmt_w_injection_count"), F.count_distinct("event_id").alias("stmt_injectable_count"))
-    counts = flagged.agg(F.count("*").alias("stmt_count"), F.count_if("has_id").alias("stmt_w_id_count"))
-    return counts.join(F.broadcast(pairs))  # one row each
+    flagged = statements.select("event_id", "idom_id", F.exists(t.variables(F.col("template")), t.is_id).alias("flag"))
+    above = ancestor_counts(flagged).select(F.col("event_id").alias("id"), "n")
+    rows = flagged.join(above, F.col("event_id") == F.col("id"))
+    pairs = F.coalesce(F.sum("n"), F.lit(0)).cast("long")
+    return rows.agg(F.count("*").alias("stmt_count"), F.count_if("flag").alias("stmt_w_id_count"), pairs.alias("stmt_w_injection_count"), F.count_if(F.col("n") > 0).alias("stmt_injectable_count"))
 
 
 def ancestor_variables(statements: DataFrame, variable: str = t.PLACEHOLDER) -> DataFrame:

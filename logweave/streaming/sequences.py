@@ -1,7 +1,8 @@
 """Rolling sequences and lookback over streams, with a bounded state per stream.
 
-Rows of a stream are taken in order of time within a trigger; a row older than one that an earlier trigger took is late
-and is dropped.
+Rows of a stream are taken in order of time within a trigger; a row older than one that was taken is late and is dropped.
+For rolling sequences, rows can wait in the state until the stream's latest row is `delay_us` later: those that come out
+of order by up to that, over any triggers, are then put in order.
 """
 
 from __future__ import annotations
@@ -15,15 +16,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from logweave.operators.logs import LOOKBACK, height
 
 
-def stream_rolling_sequences(events: DataFrame, *, window_us: int, shortest: int = 2, longest: int = 16) -> DataFrame:
-    """(stream, seq, items) of events(stream, us, seq, item), as rolling_sequences has them; the state is one window."""
+def stream_rolling_sequences(events: DataFrame, *, window_us: int, shortest: int = 2, longest: int = 16, delay_us: int = 0) -> DataFrame:
+    """(stream, seq, items) of events(stream, us, seq, item), as rolling_sequences has them; the state is one window, and the
+    rows of the last delay_us, which wait."""
     item = events.schema["item"].dataType.simpleString()
 
     def kernel(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, times, items = state.get if state.exists else (0, [], [])
+        count, times, items, *waiting = state.get if state.exists else (0, [], [], [], [], [])
         times, items, out = list(times), list(items), []
-        rows = pd.concat(list(frames)).sort_values(["us", "seq"], kind="stable")
-        for us, x in zip(rows["us"].tolist(), rows["item"].tolist(), strict=True):
+        new = pd.concat(list(frames))
+        rows = sorted([*zip(*waiting, strict=True), *new[["us", "seq", "item"]].itertuples(index=False, name=None)], key=lambda r: r[:2])
+        until = rows[-1][0] - delay_us
+        for us, _, x in (r for r in rows if r[0] <= until):
             if times and us < times[-1]:
                 continue
             gone = 0
@@ -32,11 +36,11 @@ def stream_rolling_sequences(events: DataFrame, *, window_us: int, shortest: int
             times, items, count = [*times[gone:], us], [*items[gone:], x], count + 1
             if len(items[:longest]) >= shortest:
                 out.append((key[0], count, items[:longest]))
-        state.update((count, times, items))
+        state.update((count, times, items, *([r[k] for r in rows if r[0] > until] for k in range(3))))
         yield pd.DataFrame(out, columns=["stream", "seq", "items"])
 
     stream = events.schema["stream"].dataType.simpleString()
-    return events.groupBy("stream").applyInPandasWithState(kernel, f"stream {stream}, seq long, items array<{item}>", f"n long, times array<long>, items array<{item}>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("stream").applyInPandasWithState(kernel, f"stream {stream}, seq long, items array<{item}>", f"n long, times array<long>, items array<{item}>, late_us array<long>, late_seq array<long>, late_item array<{item}>", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_lookback_values(events: DataFrame, parents: dict[str, str], *, lookback: int = LOOKBACK) -> DataFrame:

@@ -43,3 +43,14 @@ def test_lookback(spark):
     table, stream = arriving(spark, rows, "stream string, seq long, type string, value string", 3)
     parents = {"y": "x", "z": "y"}
     same(lookback_values(table, parents, lookback=3), drain(stream_lookback_values(stream, parents, lookback=3)))
+
+
+def test_rows_that_wait(spark):
+    """Rows come up to 50 out of order, over triggers; a last row of each stream lets all others go."""
+    r = random.Random(5)
+    rows = [(r.choice("ab"), t, t, t % 7) for t in range(0, 400, 3)]
+    late = sorted(rows, key=lambda x: x[1] + r.randrange(50)) + [("a", 9000, 0, 0), ("b", 9000, 0, 0)]
+    schema = "stream string, us long, seq long, item int"
+    _, stream = arriving(spark, late, schema, 5)
+    batch = rolling_sequences(spark.createDataFrame(rows, schema), window_us=40, longest=4).select("stream", F.col("seq").cast("long").alias("seq"), "items")
+    same(batch, drain(stream_rolling_sequences(stream, window_us=40, longest=4, delay_us=60)))
