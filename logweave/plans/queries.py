@@ -299,8 +299,13 @@ def path_support(spark, sf_dir):
     return found.select(F.array_join("path", ">").alias("path"), "support")
 
 
-@query(f"""WITH {EVENT}, {SEQ}, {TYPES}, {_PATHS}, all_paths AS (SELECT * FROM paths UNION ALL SELECT x, x FROM types)
-  SELECT path, count(*) AS support FROM all_paths JOIN seqs ON regexp_matches(array_to_string(items, '>'), pattern) GROUP BY path HAVING count(*) >= 500""")
+@query(f"""WITH RECURSIVE {EVENT}, {SEQ}, {TYPES}, kinds AS (SELECT array_to_string(items, '>') AS items, count(*) AS n FROM seqs GROUP BY 1),
+  grown AS (
+    SELECT x AS path, x AS pattern, sum(n) AS support, 1 AS size FROM types JOIN kinds ON regexp_matches(items, x) GROUP BY x HAVING sum(n) >= 500
+    UNION ALL
+    SELECT g.path || '>' || t.x AS path, g.pattern || '.*' || t.x AS pattern, sum(k.n) AS support, any_value(g.size) + 1 AS size
+    FROM grown g, types t, kinds k WHERE g.size < 16 AND regexp_matches(k.items, g.pattern || '.*' || t.x) GROUP BY g.path, g.pattern, t.x HAVING sum(k.n) >= 500)
+  SELECT path, CAST(support AS BIGINT) AS support FROM grown""")
 def frequent_patterns(spark, sf_dir):
     found = sequences.frequent_patterns(tables.stored(sequence_rows(spark, sf_dir), "sequences"), support=500)
     return found.select(F.array_join("path", ">").alias("path"), "support")
