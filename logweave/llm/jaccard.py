@@ -17,7 +17,7 @@ Memory: a task holds a chunk of sets, one bucket of shingles or two blocks of se
 Hashes of shingles only propose clusters: overlaps are counted on words and n-grams that are compared as they are.  Sets
 of one 64-bit hash (BLAKE2b over all shingle hashes, of which a word's depend on each byte and its place) are taken as equal.  Null and blank texts have the empty set and link with nothing;
 rows that share a doc_id are one node of the links; rows of null doc_id are counted as partners and get a null
-component; other columns of the input are ignored.
+component; texts of any length are read whole; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations

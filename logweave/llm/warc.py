@@ -9,7 +9,8 @@ of at least `least` bytes, the record with the smallest page_id is the response
 
 Digests are counted before they are shuffled.  A task holds one bundle.  Null html is an empty payload; null page_ids
 come after all others, and if a payload has no other they are all responses, as are repeated rows of the smallest
-page_id; a null url is the empty URI; other columns are ignored.
+page_id; a null url is the empty URI; html of any length is one record; no pages give no bundles; other columns are
+ignored.
 """
 
 from __future__ import annotations
