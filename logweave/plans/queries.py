@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logweave.functions import edits
 from logweave.functions import text as t
 from logweave.operators import diff, dominators, graph, logs, sequences
 from logweave.operators import templates as template_parser
@@ -490,3 +491,25 @@ def diff_java_lines(spark, sf_dir):
     path = F.when(F.contains("html", F.lit("<table")), "a/B.java").otherwise("a/b.xml")
     words = table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.contains("html", F.lit("<script")).alias("is_binary"), F.explode(F.split("html", " ")).alias("content"))
     return diff.java_lines(words).groupBy("page_id").agg(F.count("*").alias("words"))
+
+
+# ---------------------------------------------------------------- edits of source text
+
+
+@query("SELECT p_partkey, '<' || substr(p_name, 1, 2) || '-' || substr(p_name, 5, 2) || '>' || substr(p_name, 7) AS edited FROM part")
+def apply_edits(spark, sf_dir):
+    new = F.expr("array(struct(6 AS begin, 6 AS end, '>' AS new), struct(2 AS begin, 4 AS end, '-' AS new), struct(0 AS begin, 0 AS end, '<' AS new))")
+    return table(spark, sf_dir, "part").select("p_partkey", edits.apply_edits(F.col("p_name"), new).alias("edited"))
+
+
+@query("SELECT page_id, length(rtrim(substr(html, 1, strpos(html, '<p') - 1), ' ' || chr(9))) AS start FROM pages WHERE strpos(html, '<p') > 0")
+def block_start(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("at", F.instr("html", "<p") - 1).where("at >= 0")
+    return pages.select("page_id", edits.block_start(F.col("html"), F.col("at")).cast("long").alias("start"))
+
+
+@query("""WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS n FROM pages),
+  m AS (SELECT page_id, min(length(line) - length(ltrim(line, ' ' || chr(9)))) AS least FROM l WHERE trim(line, ' ' || chr(9)) <> '' GROUP BY page_id)
+  SELECT page_id, md5(string_agg(substr(line, coalesce(least, 0) + 1), chr(10) ORDER BY n)) AS digest FROM l LEFT JOIN m USING (page_id) GROUP BY page_id""")
+def deindent(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where("html is not null").select("page_id", F.md5(edits.deindent(F.col("html")).cast("binary")).alias("digest"))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave.__main__ import parser, run
+from logweave.functions import edits
 from logweave.operators import diff, graph, logs, sequences, templates
 from logweave.sources import git, tables
 
@@ -194,3 +195,11 @@ def test_formats(spark):
     rows = spark.createDataFrame([("60 A:7",), ("x A:7",), ("60 A:99999999999",), (None,)], "line string")
     assert [(str(r["ts"]), r["file_name"], r["line_number"]) for r in logs.parse_log_lines(rows, form=form).collect()] == [("1970-01-01 00:01:00", "A", 7)]
     assert templates._groups(r"(a)\((?:b)[(](?<c>d)(?=e)") == 2
+
+
+def test_edits(spark):
+    text = "  ab\n\t cd\n"
+    one = spark.createDataFrame([(text,)], "t string")
+    t = F.col("t")
+    got = one.select(edits.within(t, 2, 4), edits.within(t, 3, 99), edits.insert(t, 4, F.lit("!")), edits.delete(t, 0, 2), edits.block_start(t, F.lit(7)), edits.deindent(F.lit("  a\n    b\n\n  c"))).first()
+    assert tuple(got) == ("ab", None, "  ab!\n\t cd\n", "ab\n\t cd\n", 5, "a\n  b\n\nc")
