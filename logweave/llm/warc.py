@@ -4,7 +4,7 @@ A bundle holds whole records in independent Zstandard frames of about FRAME byte
 sizes of the frames and the footer of the Zstandard seekable format.  An index maps each record to its frame and to its
 offset and length inside the unpacked frame, so a record is read by unpacking one frame.
 
-Bundles and indexes are rows of a table that Spark writes and reads.  Payloads are told apart by SHA-256; of equal ones
+Bundles and indexes are rows of a table that Spark writes and reads; export_files() gives each bundle a file.  Payloads are told apart by SHA-256; of equal ones
 of at least `least` bytes, the record with the smallest page_id is the response and the others revisit it.
 
 Digests are counted before they are shuffled.  A task holds one bundle.  Null html is an empty payload; null page_ids
@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -185,6 +187,30 @@ def write_bundles(pages: DataFrame, *, least: int = 100) -> DataFrame:
     return c.stored(c.map_arrow(told.select("page_id", "url", "html", "digest", refers_to.alias("refers_to")), _write, f"bundle long, bytes binary, records {RECORDS}"), "warc")
 
 
+def export_files(bundles: DataFrame, folder: str) -> DataFrame:
+    """(bundle, file, size): every bundle as a file <bundle>.warc.zst below a folder that all executors reach.
+
+    Any Zstandard reader unpacks such a file to plain WARC records; its seek table is a frame that readers skip.  A file is
+    written under another name first and then renamed, so a task that is run again leaves whole files only.
+    """
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        fs.create_dir(root, recursive=True)
+        for b in batches:
+            names, sizes = [], []
+            for number, data in zip(b.column("bundle").to_pylist(), b.column("bytes"), strict=True):
+                name, part = f"{root}/{number:016d}.warc.zst", f"{root}/.{number:016d}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write(data.as_buffer())
+                fs.move(part, name)
+                names.append(name)
+                sizes.append(len(data.as_buffer()))
+            yield pa.RecordBatch.from_arrays([b.column("bundle"), pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["bundle", "file", "size"])
+
+    return c.map_arrow(bundles.select("bundle", "bytes"), kernel, "bundle long, file string, size long")
+
+
 def read_bundles(bundles: DataFrame) -> DataFrame:
     """Every record of the bundles, unpacked frame by frame, checked against the index and its digest."""
     return c.map_arrow(bundles.select("bundle", "bytes", "records"), _read, READ)
