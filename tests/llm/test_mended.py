@@ -7,9 +7,10 @@ import time
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from logweave.llm import chat, common, embeddings, jaccard, langid, mixing, mpeg, toxicity
+from logweave.llm import chat, common, embeddings, jaccard, langid, mixing, mpeg, packing, toxicity, warc
 
 
 def rows_of(df):
@@ -40,7 +41,7 @@ def test_attach(spark, width):
 
 
 def test_embeddings_of_many_cells_and_blocks(spark, monkeypatch):
-    for name, value in (("CELL", 40), ("HOMES", 16), ("OTHERS", 32)):
+    for name, value in (("CELL", 40), ("HOMES", 160), ("OTHERS", 320)):
         monkeypatch.setattr(embeddings, name, value)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(250, 10))
@@ -131,6 +132,30 @@ def test_versions_layers_and_tables():
     assert x["table"][:3] == ("VBRI", 7, 1000) and x["table"][3] == b"\1\2\3\4" and x["seek"] == [k * size for k in (1, 2, 3)]
 
 
+# ---------------------------------------------------------------- 4, 9
+
+
+def test_exported_files_are_plain_archives(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://h/{k % 7}", f"<p>{k % 7}</p>" * 900) for k in range(400)], "page_id long, url string, html string")
+    files = warc.export_files(warc.write_bundles(pages), str(tmp_path)).collect()
+    found = []
+    for r in files:
+        with open(r["file"], "rb") as f:
+            data = zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
+        at = 0
+        while at < len(data):
+            record, at = warc.parse(data, at)
+            found.append((record["page_id"], record["record_type"]))
+    assert sorted(found) == [(k, "response" if k < 7 else "revisit") for k in range(400)]
+    assert not [x for x in tmp_path.iterdir() if x.name.startswith(".")]
+
+
+def test_sequences_are_near_the_lower_bound(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    total, used = packing.pack(docs).agg(F.sum("length"), F.count_distinct("sequence_id")).first()
+    assert used <= math.ceil(-(-total // 2048) * 1.01)
+
+
 # ---------------------------------------------------------------- 5, 10
 
 
