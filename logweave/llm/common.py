@@ -84,14 +84,21 @@ def dropped(df: DataFrame) -> None:
 tables: set[str] = set()
 
 
-def clear(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete all intermediate tables of this process but that of `keep`; results that read them must have been written."""
+def written() -> set[str]:
+    """The intermediate tables of this process that stand now."""
+    return _written | tables
+
+
+def clear(spark: SparkSession, *, keep: DataFrame | None = None, before: set[str] = frozenset()) -> None:
+    """Delete the intermediate tables of this process, but that of `keep` and those written `before`; results that read the
+    others must have been written."""
     files = keep.inputFiles() if keep is not None else []
-    for path in list(_written):
+    for path in _written - before:
         if not any(path in f for f in files):
             remove(spark, path)
-    while tables:
-        spark.sql(f"DROP TABLE IF EXISTS {tables.pop()}")
+    for name in tables - before:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        tables.discard(name)
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:
