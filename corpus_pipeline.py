@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import jaccard, mixing, packing, suffix, toxicity
-from logweave.llm.common import clear, stored, table
+from logweave.llm.common import clear, stored, table, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +66,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
-        clear(spark, keep=docs)  # all that the stage wrote on its way
+        clear(spark, keep=docs, before=before)  # the table of the stage before, and what this one wrote on its way
     return docs
