@@ -59,7 +59,7 @@ def source_targets(sources: DataFrame, *, most: int = 3) -> DataFrame:
 def _newton(state: DataFrame, sizes: DataFrame, most: int, tasks: int) -> DataFrame:
     """One step of every source of state(place, target, lam, low, high, gap); what is solved stays."""
     rate = F.exp(F.least(F.col("lam") * F.col("size"), F.lit(math.log(most) + 1)))
-    words = F.col("n") * F.col("size")
+    words = F.col("n").cast("double") * F.col("size")
     at = state.join(sizes, "place").groupBy("place", "target", "lam", "low", "high", "gap").agg(
         (F.sum(words * F.least(rate, F.lit(float(most)))) - F.first("target")).alias("now"),
         F.sum(F.when(rate < most, words * F.col("size") * rate).otherwise(0.0)).alias("bend"),
