@@ -460,8 +460,8 @@ NAMES = ["doc_id", "n", "key", "chunk", "bucket", "data"]
 PROFILE = "doc_id long, n long, key long, chunk long, bucket long, data binary"
 
 
-def _clusters(texts: DataFrame, total: int, size: int, percent: int, packed: bool) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, key) of all rows of texts, and (key, cluster) of the classes that share a prefix shingle with one of
+def _clusters(texts: DataFrame, total: int, size: int, percent: int, packed: bool) -> tuple[DataFrame | None, DataFrame]:
+    """(doc_id, n, key) of all rows of texts, unless they are packed, and (key, cluster) of the classes that share a prefix shingle with one of
     a size that fits.  total: about how many shingles there are, which sets the number of buckets."""
     buckets = max(c.partitions(texts.sparkSession), total // BUCKET + 1)
     # So many bits tell nearly all shingles apart; two that are taken for one only make a cluster larger.
@@ -475,7 +475,11 @@ def _clusters(texts: DataFrame, total: int, size: int, percent: int, packed: boo
     postings = prefixes.where("bucket is not null").select("bucket", "postings").repartition(buckets, "bucket")
     stars = postings.groupBy("bucket").applyInArrow(c.by_group(_stars(percent)), "a long, b long")
     clusters = c.stored(c.components(stars.union(prefixes.where("bucket is null").select("a", "b"))).withColumnRenamed("node", "key").withColumnRenamed("root", "cluster"), "clusters")
-    return profile.where("n is not null").select("doc_id", "n", "key"), clusters
+    # Packed sets take as much room as the texts; of them only sizes and keys are still to be read.
+    sets = None if packed else c.stored(profile.where("n is not null").select("doc_id", "n", "key"), "keys")
+    c.dropped(profile)
+    c.dropped(prefixes)
+    return sets, clusters
 
 
 def jaccard_join(docs: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
@@ -513,6 +517,8 @@ def jaccard_join(docs: DataFrame, *, size: int = 5, percent: int = 75) -> DataFr
     rows = rows.withColumn("at", F.explode(F.when(F.col("blocks") == 1, F.array(small)).otherwise(F.concat(as_query, as_indexed))))
     rows = rows.select("at.home", "at.i", "at.j", "at.role", "key", "times", "text")
     found = c.stored(rows.groupBy("home", "i", "j").applyInArrow(c.by_group(_links(size, percent)), "key long, root long, links long"), "links")
+    c.dropped(near)
+    c.dropped(members)
 
     reached = c.components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))

@@ -289,6 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED) -> dict
     n0, t0 = sizes.get(0, (0, 0))
     halves = [lexicon([(r[0], r[1], r[2]) for r in counts], n0, t0), lexicon([(r[0], r[3] - r[1], r[4] - r[2]) for r in counts], n - n0, toxic - t0), lexicon([(r[0], r[3], r[4]) for r in counts], n, toxic)]
     got = sorted(tuple(r) for r in c.map_arrow(rows, _train_features(halves[:2]), "doc_id long, toxic long, fold long, x array<double>").collect())
+    c.dropped(rows)
     y, f, x = np.array([r[1] for r in got], dtype=float), np.array([r[2] for r in got]), np.array([r[3] for r in got])
     other = np.empty(len(y))
     for k in (0, 1):
