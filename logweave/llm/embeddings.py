@@ -5,7 +5,7 @@
    of its nearest centroid as home and is a guest of each cell in which a partner could be at home: for a partner y of x
    at home in d, y.d >= y.c for x's home c, and |x - y| <= sqrt(2 - 2 cosine), so x.(c - d) <= |x - y| |c - d|; nor can x
    be farther from d than the cell's radius and the partner's angle.  So no link is lost, wherever cells are cut.
-3. Homes and guests of a cell are cut into blocks, and each pair of blocks is one product: in single precision, and again
+3. Homes and guests of a cell are cut into blocks of a number of components, and each pair of blocks is one product: in single precision, and again
    in double precision for whatever comes near the threshold.  A vector meets all its partners in its home cell, so links
    are counted there; they leave as a forest.
 4. Components of the links, joined back to all copies.
@@ -14,7 +14,7 @@ Memory: a task holds one pair of blocks.  A cell of any size is cut, and copies
 The cost: vectors without structure are guests of nearly every cell, and all pairs are then compared.
 Null, empty and zero vectors, and those with null or non-finite components, link with nothing; vectors of different
 lengths do not link; rows that share a vec_id are one node of the links but count as partners; rows of null vec_id count
-as partners and get a null component; other columns are ignored.
+as partners and get a null component; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from logweave.llm import common as c
 
-#: Vectors that centroids are fitted to, vectors to a cell, most cells, k-means steps; rows of a block of homes and of all.
-SAMPLE, CELL, CELLS, STEPS = 16_384, 4096, 512, 8
-HOMES, OTHERS = 2048, 8192
+#: Vectors that centroids are fitted to, vectors to a cell, most cells, k-means steps; components in a block of homes and of all.
+SAMPLE, CELL, CELLS, STEPS = 16_384, 4096, 2048, 8
+HOMES, OTHERS = 1 << 19, 1 << 21
 #: Single precision may err by so much.
 SLACK = 1e-4
 
@@ -192,7 +192,9 @@ def near_duplicates(embeddings: DataFrame, *, cosine: float = 0.95, sample: int
         told = {r[0]: r for r in told.groupBy("cell").agg(F.sum("homes"), F.sum("guests"), F.min("least")).collect()}
         k = range(len(centers))
         radius = np.array([np.arccos(np.clip(told[i][3], -1, 1)) if told[i][1] else -np.pi for i in k])
-        plan = {"homes": [-(-told[i][1] // HOMES) for i in k], "others": [max(1, -(-(told[i][1] + told[i][2]) // OTHERS)) if told[i][1] else 0 for i in k]}
+        # A vector is sent once for each block of homes of its cells: large blocks, of so many components, keep that low.
+        rows_of = lambda n, most: max(1, -(-n * dim // most)) if n else 0
+        plan = {"homes": [rows_of(told[i][1], HOMES) for i in k], "others": [rows_of(told[i][1] + told[i][2], OTHERS) if told[i][1] else 0 for i in k]}
         dealt = c.map_arrow(mine, _cells(dim, kind, centers, cosine, radius, plan), "cell int, i int, j int, role int, data binary")
         found = found.union(dealt.groupBy("cell", "i", "j").applyInArrow(c.by_group(_products(dim, kind, cosine)), "rep long, root long, links long"))
     found = c.stored(found, "links")
