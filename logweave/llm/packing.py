@@ -1,7 +1,8 @@
 """Packing documents into sequences of a fixed number of tokens.
 
-1. Each document's token ids, ended by id 0, are cut into pieces of `capacity` tokens.  Words between ASCII spaces are
-   tokenized once per worker: the tokenizer splits there itself, so ids of words joined are the ids of the text.
+1. Each document's token ids, ended by id 0, are cut into pieces of `capacity` tokens.  Runs of letters, digits and runs of
+   other characters are tokenized once per worker: the tokenizer splits there itself, so ids of runs joined are the ids of
+   the text.
 2. Only counts of lengths, at most `capacity` rows, come to the driver.  Martello and Toth's dominance reduction fixes
    sets of up to three lengths that are at least as good as any other set with their largest piece; the rest is packed
    by best fit, largest first.  Both work on counts: a pattern of lengths is used many times.
@@ -15,8 +16,8 @@ into pieces; repeated rows are documents of their own; an empty table gives no p
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
-import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -29,11 +30,19 @@ from pyspark.sql import functions as F
 
 from logweave.llm import common as c
 
-#: Longest word kept, and words kept, by a worker's memory of tokenized words.
-WORD_BYTES, WORDS = 48, 1_500_000
+#: Longest run kept, and runs kept, by a worker's memory of tokenized runs.
+RUN_BYTES, RUNS = 48, 1_500_000
 
-#: ASCII punctuation that ends a run of letters for the tokenizer; not the apostrophe, which may begin a suffix.
-TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What a byte is to the tokenizer: white space, a letter, a digit, of any other kind, or not told by the byte.
+SPACE, LETTER, DIGIT, MARK, ODD = range(5)
+KIND = np.full(256, ODD, dtype=np.uint8)
+KIND[0x21:0x7F] = MARK
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+KIND[0x30:0x3A] = DIGIT
+KIND[ord("'")] = ODD  # it may begin a suffix
+KIND[c.SEPARATOR] = SPACE
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
 
 _loaded: dict[str, "Words"] = {}
 
@@ -44,12 +53,54 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, offsets, first run of each text) of what the tokenizer takes apart before all else: runs of letters, digits,
+    and runs of other characters, in lower case.
+
+    That holds for words of ASCII and the letters U+00C0 to U+00FF.  A word that has other characters, an apostrophe or
+    what may be a special token is one run, as it is.
+    """
+    kind, low = KIND[data], LOWER[data]
+    edge = at[:-1][at[:-1] < at[1:]]
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[lead + 1 < len(data)]
+    if len(lead):
+        after = data[lead + 1]
+        good = (after >= 0x80) & (after < 0xC0) & (after != 0x97) & (after != 0xB7)
+        lead, after = lead[good], after[good]
+        kind[lead] = kind[lead + 1] = LETTER
+        low[lead[after < 0x9F] + 1] += 0x20
+    token = np.flatnonzero(data[:-1] == ord("<"))
+    kind[token[data[token + 1] == ord("|")]] = ODD
+    odd = np.flatnonzero(kind == ODD)
+    if len(odd):
+        inside = kind != SPACE
+        ends = ~inside
+        ends[edge] = True  # a word that another text follows ends there
+        stops = np.append(np.flatnonzero(ends), len(data))
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        begins[edge] = inside[edge]
+        begins = np.flatnonzero(begins)
+        a = begins[np.unique(np.searchsorted(begins, odd, "right") - 1)]
+        n = stops[np.searchsorted(stops, a, "right")] - a
+        whole = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        kind[whole], low[whole] = ODD, data[whole]
+    new = kind == DIGIT
+    new[1:] |= kind[1:] != kind[:-1]
+    new[edge] = True
+    cuts = np.flatnonzero(new)
+    held = kind[cuts] != SPACE
+    offsets = np.zeros(np.count_nonzero(held) + 1, dtype=np.int64)
+    np.cumsum(np.diff(np.append(cuts, len(data)))[held], out=offsets[1:])
+    return low[kind != SPACE], offsets, np.searchsorted(cuts[held], at)
+
+
 class Words:
-    """A tokenizer's ids of words, remembered.
+    """A tokenizer's ids of runs, remembered.
 
-    The tokenizer lower-cases, drops white space and splits letters from punctuation, so a word of letters and the
-    punctuation behind it have their own ids.  New words of letters are tokenized in one text and told apart by the ids
-    that end a word; if their number is not that of the words, and for all other words, each is tokenized alone.
+    The ids of runs, joined, are the ids of the text.  New runs of letters are tokenized in one text and told apart by the
+    ids that end a run; if their number is not that of the runs, and for all other runs, each is tokenized alone.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,56 +111,82 @@ class Words:
         vocabulary = self.model.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.letters: dict[bytes, bytes] = {}
-
-    def alone(self, words: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-
-    def learn(self, words: set[bytes]) -> None:
-        split, other, letters = [], [], set()
-        for w in words:
-            core = w.rstrip(TAIL)
-            if core and (core.isalpha() if core.isascii() else unicodedata.normalize("NFC", core.decode()).lower().isalpha()):
-                core_low = core.lower()
-                split.append((w, core_low, w[len(core) :]))
-                letters.add(core_low)
-            else:
-                other.append(w)
-        if len(self.letters) > WORDS:
-            self.letters.clear()
-        new = list(letters.difference(self.letters))
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            ids = np.array(self.model.encode(b" ".join(part).decode(), add_special_tokens=False).ids, dtype="<u4")
-            at = 4 * np.flatnonzero(self.ends[ids]) + 4
-            if len(at) == len(part) and at[-1] == 4 * len(ids):
-                raw, cuts = ids.tobytes(), [0, *at.tolist()]
-                self.letters.update((w, raw[x:y]) for w, x, y in zip(part, cuts[:-1], cuts[1:], strict=True))
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        #: Where the ids of run k begin and end, at k and k + 1, and the ids; both arrays have room behind.
+        self.at, self.flat = np.zeros(1, dtype=np.int64), np.empty(0, dtype="<u4")
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The runs in another order, how many ids each has, and the ids."""
+        letters: list[str] = []
+        other: list[str] = []
+        for w in map(bytes.decode, new):
+            (letters if w.isalpha() else other).append(w)
+        sizes, ids = [], []
+        for i in range(0, len(letters), 2000):
+            part = letters[i : i + 2000]
+            (got,) = self.encode([" ".join(part)])
+            at = np.flatnonzero(self.ends[got]) + 1
+            if len(at) == len(part) and at[-1] == len(got):
+                sizes.append(np.diff(at, prepend=0))
+                ids.append(got)
             else:
-                self.letters.update(zip(part, self.alone(part), strict=True))
-        tails = list({t for _, _, t in split}.union(other).difference(self.known))
-        self.known.update(zip(tails, self.alone(tails), strict=True))
-        letters_, known = self.letters, self.known
-        for w, core, tail in split:
-            known[w] = letters_[core] + known[tail] if tail else letters_[core]
-
-    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        # Lower case first: fewer words.  Special tokens are of lower case, so a text that may hold one stays as it is.
-        split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-            new = set().union(*split)
-        if new:
-            self.learn(new)
-        for words in split:
-            yield b"".join(map(self.known.__getitem__, words))
-        for w in new:
-            if len(w) > WORD_BYTES:
-                self.known.pop(w, None)
-                self.letters.pop(w.rstrip(TAIL).lower(), None)
+                other += part
+                letters[i : i + 2000] = [""] * len(part)
+        alone = self.encode(other)
+        sizes.append(np.array([len(x) for x in alone], dtype=np.int64))
+        return [w.encode() for w in letters if w] + [w.encode() for w in other], np.concatenate(sizes), np.concatenate([*ids, *alone])
+
+    def remember(self, new: list[bytes]) -> None:
+        order, sizes, ids = self.learn(new)
+        n = len(self.known)
+        used = int(self.at[n])
+        self.flat = put(self.flat, used, ids)
+        self.at = put(self.at, n + 1, used + np.cumsum(sizes))
+        self.known.update(zip(order, range(n, n + len(order)), strict=True))
+
+    def numbers(self, distinct: list[bytes]) -> np.ndarray:
+        """The place of each of the runs in the memory; those it lacks are tokenized, the long ones last."""
+        out = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), dtype=np.int64, count=len(distinct))
+        lacking = np.flatnonzero(out < 0)
+        if len(self.known) + len(lacking) > RUNS:
+            self.forget()
+            lacking = np.arange(len(distinct))
+        new = [distinct[k] for k in lacking.tolist()]
+        for part in ([w for w in new if len(w) <= RUN_BYTES], [w for w in new if len(w) > RUN_BYTES]):
+            if part:
+                self.remember(part)
+        out[lacking] = [self.known[w] for w in new]
+        return out
+
+    def ids(self, data: np.ndarray, at: np.ndarray) -> Iterator[bytes]:
+        """The ids of each text data[at[k] : at[k + 1]], as little-endian 32-bit integers."""
+        held, offsets, first = runs(data, at)
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(held)]).dictionary_encode()
+        distinct = column.dictionary.to_pylist()
+        number = self.numbers(distinct)[column.indices.to_numpy()]
+        n = self.at[number + 1] - self.at[number]
+        ends = np.cumsum(n)
+        out = self.flat[np.repeat(self.at[number] - (ends - n), n) + np.arange(n.sum())].tobytes()
+        bounds = (4 * np.append(0, ends)[first]).tolist()
+        for w in distinct:
+            if len(w) > RUN_BYTES:  # these came last, so room is taken up again
+                del self.known[w]
+        for x, y in itertools.pairwise(bounds):
+            yield out[x:y]
+
+
+def put(array: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+    """array with `new` behind its first `used` values, in twice the room where there was too little."""
+    if used + len(new) > len(array):
+        array = np.concatenate([array[:used], np.empty(max(used, len(new)), array.dtype)])
+    array[used : used + len(new)] = new
+    return array
 
 
 def tokenizer(path: str) -> Words:
@@ -119,10 +196,6 @@ def tokenizer(path: str) -> Words:
     return _loaded[path]
 
 
-def token_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
-    return tokenizer(path).ids(texts)
-
-
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, place long, ids binary"
 
 
@@ -132,9 +205,8 @@ def _pieces(capacity: int, path: str, keep_ids: bool):
         for b in batches:
             data, at = c.utf8(b.column(1))
             for i, j in c.slices(at):
-                texts = [data[x:y].tobytes() for x, y in zip(at[i:j], at[i + 1 : j + 1], strict=True)]
                 rows = []
-                for k, ids in zip(range(i, j), token_ids(texts, path), strict=True):
+                for k, ids in zip(range(i, j), tokenizer(path).ids(data[at[i] : at[j]], at[i : j + 1] - at[i]), strict=True):
                     ids += b"\0\0\0\0"
                     id_ = b.column(0)[k].as_py()
                     for n, x in enumerate(range(0, len(ids), 4 * capacity)):

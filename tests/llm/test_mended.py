@@ -1,11 +1,14 @@
 """Hot keys, colliding hashes, many cells and blocks, long inputs, and a brute-force posterior."""
 
 import collections
+import itertools
 import math
+import random
 import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -262,3 +265,33 @@ def test_tilts_solve_the_dual(spark):
     for p in total:
         words = sum(n * s * min(3.0, math.exp(min(lam[p] * s, 2))) for q, s, n in sizes if q == p)
         assert words == pytest.approx(shares[p] * total[p], rel=1e-11)
+
+
+# ---------------------------------------------------------------- 9
+
+
+def ids_of(words, texts):
+    data, at = common.utf8(pa.array(texts, pa.string()))
+    return [np.frombuffer(x, "<u4").tolist() for x in words.ids(data, at)]
+
+
+def test_runs_are_tokenized_once():
+    """New words of known runs ask the tokenizer for nothing, and the ids are its own."""
+    words = packing.Words(packing.default_tokenizer())
+    asked, encode = [], words.encode
+    words.encode = lambda texts: encode([asked.append(t) or t for t in texts])
+    parts = ["".join(x) for x in itertools.product("aeiou", "bcdfgklm")]
+    texts = [" ".join(f"{x.upper()}-{y}{k % 10}, ({y}É" for k, y in enumerate(parts)) for x in parts]
+    assert ids_of(words, texts) == [words.model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(len(t.split()) for t in asked) < 200
+
+
+def test_ids_of_texts_that_lower_case_changes():
+    """Letters are composed before they are lower-cased; special tokens, suffixes, signs among letters, digits of all kinds."""
+    rnd = random.Random(21)
+    atoms = [*"abXY09 \t\n.,'-<|>\x00\x1c\x7fÉé×÷ßÿÞÖ́̌İıΣςβ中 \u0085 ªº²½٣😀‍Kẞ", "J̌", "H̱", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'re"]
+    texts = ["J̌ ẖ T̈", None, "", "x" * 5000, "x" * 5000 + "b"] + ["".join(rnd.choices(atoms, k=rnd.randrange(40))) for _ in range(3000)]
+    words = packing.Words(packing.default_tokenizer())
+    for _ in range(2):
+        assert ids_of(words, texts) == [words.model.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert max(map(len, words.known)) <= packing.RUN_BYTES and words.at[len(words.known)] <= len(words.flat)
