@@ -11,8 +11,9 @@
 3. Those are joined into one text per bucket, with a suffix array by prefix doubling.  Threshold-bounded interval
    expansion on its Burrows-Wheeler transform gives the common prefixes by increasing value: a queue holds the intervals
    of strings of l bytes, each is extended to the left by every byte before it, and where a new interval ends without a
-   boundary there is one of value l, and that interval is queued; all stops at `length`.  What is left without a boundary
-   are the intervals of equal windows; all but the earliest window of an interval are repeated.
+   boundary there is one of value l, and that interval is queued; all stops at `length`, up to which alone the array is in
+   order.  What is left without a boundary are the intervals of equal windows; all but the earliest window of an interval
+   are repeated.
 4. Ranges return to their chunks, where the bytes are cut out.
 
 Memory: a task holds one chunk, or one bucket of hashes or of sides.  A passage that stands in a third of all texts is
@@ -25,6 +26,7 @@ rows; other columns are ignored, or carried along whatever their names.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -38,8 +40,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from logweave.llm import common as c
 
-#: Bytes of a gram, of a chunk, of the stretches in a bucket; hashes in a bucket.
-GRAM, CHUNK, STRETCHES, HASHES = 24, 4 << 20, 1 << 17, 500_000
+#: Bytes of a gram, of a chunk, of the stretches in a bucket; hashes in a bucket; bytes hashed at once, whose arrays stay in a core's cache.
+GRAM, CHUNK, STRETCHES, HASHES, CACHED = 24, 4 << 20, 1 << 17, 500_000, 1 << 15
 NULL_ID = np.iinfo(np.int64).max
 #: A second number of 64 bits for each byte value.
 OTHER = c.mix(c.BYTES ^ np.uint64(0x2545F4914F6CDD1D))
@@ -102,8 +104,9 @@ def stretches(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray
     """
     out: list[tuple] = []
     span, half = length - GRAM + 1, (length - GRAM + 1) // 2
-    for lo in range(0, max(len(data) - length + 1, 0), c.SLICE):
-        d = data[lo : lo + c.SLICE + length - 1]
+    slice_ = max(CACHED, min(8 * length, c.SLICE))
+    for lo in range(0, max(len(data) - length + 1, 0), slice_):
+        d = data[lo : lo + slice_ + length - 1]
         s, s2 = c.prefix_sums(d, c.BYTES), c.prefix_sums(d, OTHER)
         inverse = c.powers(len(d) + 1)[1]
         h = c.mix((s[GRAM:] - s[:-GRAM]) * inverse[: len(d) - GRAM + 1])
@@ -115,9 +118,10 @@ def stretches(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray
             have += step
         n = len(h)
         edge = np.zeros(n + 1, dtype=np.int32)
-        whole = at[1:] - at[:-1] >= length
-        np.add.at(edge, np.clip(at[:-1][whole] - lo, 0, n), 1)
-        np.add.at(edge, np.clip(at[1:][whole] - length + 1 - lo, 0, n), -1)
+        here = at[max(np.searchsorted(at, lo, "right") - 1, 0) : np.searchsorted(at, lo + n) + 1] - lo
+        whole = here[1:] - here[:-1] >= length
+        np.add.at(edge, np.clip(here[:-1][whole], 0, n), 1)
+        np.add.at(edge, np.clip(here[1:][whole] - length + 1, 0, n), -1)
         valid = np.cumsum(edge[:-1]) > 0
         new = valid.copy()
         new[1:] &= ~valid[:-1] | (h[1:] != h[:-1])
@@ -137,12 +141,22 @@ def stretches(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray
 
 def first_of_chunk(gram: np.ndarray, h: np.ndarray, h2: np.ndarray) -> np.ndarray:
     """Whether a stretch is the first of its kind in its chunk."""
-    order = np.lexsort((np.arange(len(h)), h2, h, gram))
-    first = np.zeros(len(h), dtype=bool)
-    first[order[new_runs(gram[order], h[order], h2[order])]] = True
+    first = np.ones(len(h), dtype=bool)
+    some = shared(h)
+    order = some[np.lexsort((some, h2[some], h[some], gram[some]))]
+    first[order] = new_runs(gram[order], h[order], h2[order])
     return first
 
 
+def shared(key: np.ndarray) -> np.ndarray:
+    """Where values stand that stand elsewhere too."""
+    order = np.argsort(key)
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    out = np.zeros(len(key), dtype=bool)
+    out[order[again]] = out[order[again + 1]] = True
+    return np.flatnonzero(out)
+
+
 def new_runs(*columns: np.ndarray) -> np.ndarray:
     """Where rows begin that differ from the row before."""
     new = np.ones(len(columns[0]), dtype=bool)
@@ -181,13 +195,13 @@ def _statuses(t: pa.Table) -> pa.Table:
     parts = [c.unpack(x.as_py(), np.uint64, np.uint64, np.uint64, np.int64, np.uint32, np.uint32, np.uint32) for x in t.column("hashes")]
     lens = np.array([len(p[0]) for p in parts])
     gram, h, h2, id_, a, before, after = (np.concatenate([p[k] for p in parts]) for k in range(7))
-    order = np.lexsort((a, np.repeat(chunk, lens), id_, h2, h, gram))
-    kinds = order[new_runs(gram[order], h[order], h2[order])]
-    status = np.full(len(gram), WHOLE, np.uint8)
-    status[kinds] = 0
-    for bit, side in ((BEFORE, before[kinds]), (BEHIND, after[kinds])):
-        _, at, n = np.unique(c.mix(c.mix(gram[kinds]) + side), return_inverse=True, return_counts=True)
-        status[kinds[(n[at.reshape(-1)] > 1) & (side > 0)]] |= np.uint8(bit)
+    some = shared(h)
+    order = some[np.lexsort((a[some], np.repeat(chunk, lens)[some], id_[some], h2[some], h[some], gram[some]))]
+    status = np.zeros(len(gram), np.uint8)
+    status[order[~new_runs(gram[order], h[order], h2[order])]] = WHOLE
+    for bit, side in ((BEFORE, before), (BEHIND, after)):
+        kinds = np.flatnonzero((status != WHOLE) & (side > 0))
+        status[kinds[shared(c.mix(c.mix(gram[kinds]) + side[kinds]))]] |= np.uint8(bit)
     out = np.split(status, np.cumsum(lens)[:-1])
     keep = [i for i, s in enumerate(out) if s.any()]
     return pa.table({"chunk": pa.array(chunk[keep], pa.int64()), "bucket": pa.array([t.column("bucket")[0].as_py()] * len(keep), pa.int64()), "status": pa.array([c.pack(out[i]) for i in keep], pa.binary())})
@@ -256,27 +270,47 @@ def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[at].astype(np.int64), b[np.append(at[1:], len(a)) - 1].astype(np.int64)
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
+def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Positions in order of what stands from there to the next 0, by prefix doubling; equal ones in order of place.
 
-    text: symbols below 512, with a 0 at the end of each of its parts.
+    text: symbols below 512, with a 0 at the end of each of its parts.  depth: symbols up to which the order is needed.
     """
     n = len(text)
-    left = np.full(n, n, dtype=np.int64)  # symbols up to the next 0
+    if not n:
+        return np.empty(0, dtype=np.int64)
     zeros = np.flatnonzero(text == 0)
-    left = zeros[np.searchsorted(zeros, np.arange(n))] - np.arange(n)
+    left = np.repeat(zeros, np.diff(zeros, prepend=-1)) - np.arange(n)  # symbols up to the next 0
+    number = np.cumsum(np.bincount(text, minlength=512) > 0) - 1  # fewer bits, more symbols in a key
+    width, bits = max(int(number[-1]).bit_length(), 1), n.bit_length()
+    have = max((63 - bits) // width, 1)
+    padded = np.concatenate([number[text], np.zeros(have, np.int64)])
     key = np.zeros(n, dtype=np.int64)
-    padded = np.concatenate([text.astype(np.int64), np.zeros(7, np.int64)])
-    for k in range(7):
-        key = key << 9 | np.where(left >= k, padded[k : k + n], 0)
-    have, longest = 7, int(left.max(initial=0)) + 1
-    rank = np.unique(key, return_inverse=True)[1].reshape(-1).astype(np.int64) + 1
-    while have < longest:
+    for k in range(have):
+        key = key << width | np.where(left >= k, padded[k : k + n], 0)
+    longest = int(left.max()) + 1
+    enough = longest if depth is None else min(longest, depth)
+    rank, order = ranks(key, bits)
+    while have < enough and rank[order[-1]] < n:
         later = np.zeros(n, dtype=np.int64)
         later[: n - have] = np.where(left[: n - have] >= have, rank[have:], 0)
-        rank = np.unique(rank * (n + 1) + later, return_inverse=True)[1].reshape(-1).astype(np.int64) + 1
+        rank, order = ranks(rank * (n + 1) + later, bits)
         have *= 2
-    return np.argsort(rank, kind="stable")
+    return order
+
+
+def ranks(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each key from 1 on, the places in order of key and place); places have so many bits."""
+    if int(key.max()).bit_length() + bits <= 63:
+        # Sorting values takes a fraction of the time of sorting places by them.
+        both = key << bits | np.arange(len(key))
+        both.sort()
+        order, key = both & ((1 << bits) - 1), both >> bits
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    rank = np.empty(len(key), dtype=np.int64)
+    rank[order] = np.cumsum(new_runs(key))
+    return rank, order
 
 
 def equal_prefixes(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
@@ -290,25 +324,26 @@ def equal_prefixes(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
     kind = np.int32 if n < 1 << 31 else np.int64
     transform = text[sa - 1]
     # The rows whose suffixes are longer by the symbol before: among rows of one symbol the order stays.
+    order = np.argsort(transform, kind="stable").astype(kind)
     longer = np.empty(n, dtype=kind)
-    longer[np.argsort(transform, kind="stable")] = np.arange(n, dtype=kind)
+    longer[order] = np.arange(n, dtype=kind)
+    # The rows of the same symbol before and behind a row: those outside an interval tell where an extended string's rows end.
+    same = np.flatnonzero(~new_runs(transform[order]))
+    before, behind = np.full(n, -1, dtype=kind), np.full(n, n, dtype=kind)
+    before[order[same]], behind[order[same - 1]] = order[same - 1], order[same]
     known = np.zeros(n + 1, dtype=bool)
     known[[0, n]] = True
     low, high = np.zeros(1, dtype=kind), np.full(1, n, dtype=kind)
     for value in range(length):
+        if value == 1:  # no string goes on beyond an end
+            ends = transform == 0
+            before[ends], behind[ends] = n, -1
         size = (high - low).astype(np.int64)
         if not len(size):
             break
-        of = np.repeat(np.arange(len(size), dtype=kind), size)
         rows = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
-        if value:  # no string goes on beyond an end
-            inside = transform[rows] > 0
-            rows, of = rows[inside], of[inside]
-        to = longer[rows]
-        order = np.argsort(to)
-        to, of, symbol = to[order], of[order], transform[rows[order]]
-        first = np.flatnonzero(new_runs(of, symbol))
-        low, high = to[first], to[np.append(first[1:], len(to)) - 1] + 1 if len(first) else to[first]
+        first, last = rows[before[rows] < np.repeat(low, size)], rows[behind[rows] >= np.repeat(high, size)]
+        low, high = np.sort(longer[first]), np.sort(longer[last]) + 1
         new = ~known[high]
         low, high = low[new], high[new]
         known[high] = True
@@ -336,7 +371,7 @@ def _compare(length: int):
         starts = np.concatenate([[0], np.cumsum(lens + 1)])
         text = np.frombuffer(b"".join(texts[i] + b"\0" for i in order), np.uint8).astype(np.int16) + 1
         text[starts[1:] - 1] = 0
-        sa = suffix_array(text)
+        sa = suffix_array(text, length)
         interval = np.cumsum(equal_prefixes(text, sa, length)) - 1
         owner = np.repeat(np.arange(len(lens)), lens + 1)
         valid = np.arange(len(text)) + length < starts[owner + 1]
@@ -362,20 +397,18 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     if not left.num_rows:
         return CUT.empty_table()
     ids, at, data = chunk_of(left)
-    edge = np.zeros(len(data) + 1, dtype=np.int32)
-    for x in right.column("data"):
-        a, b = c.unpack(x.as_py(), np.int64, np.int64)
-        np.add.at(edge, a, 1)
-        np.add.at(edge, b, -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    begins = gone.copy()
-    begins[1:] &= ~gone[:-1]
-    firsts = at[:-1][at[:-1] < at[1:]]
-    begins[firsts] = gone[firsts]
-    n_gone, n_spans = (np.diff(np.concatenate([[0], np.cumsum(x)])[at]) for x in (gone, begins))
-    kept = data[~gone].tobytes()
-    ends = np.concatenate([[0], np.cumsum(np.diff(at) - n_gone)])
-    texts = [kept[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    gone = [c.unpack(x.as_py(), np.int64, np.int64) for x in right.column("data")]
+    a, b = merged(*(np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*gone, strict=True) if gone else ((), ()))))
+    covered = np.concatenate([[0], np.cumsum(b - a)])
+    # The bytes gone before each place where a text begins or ends: of the ranges that begin before, less what lies behind.
+    begun = np.searchsorted(a, at)
+    before = covered[begun] - np.where(begun > 0, np.maximum(b[begun - 1] - at, 0) if len(b) else 0, 0)
+    n_gone = np.diff(before)
+    n_spans = np.where(np.diff(at) > 0, begun[1:] - np.searchsorted(b, at[:-1], "right"), 0)
+    bytes_ = memoryview(data)
+    kept = b"".join([bytes_[i:j] for i, j in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True)])
+    ends = at - before
+    texts = [kept[i:j] for i, j in itertools.pairwise(ends.tolist())]
     columns = [pa.array(ids, mask=ids == NULL_ID), pa.array(np.diff(at)), pa.array(n_gone.astype(np.int64)), pa.array(n_spans.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in texts]), pa.array(texts, pa.binary())]
     return pa.table(columns, names=CUT.names).cast(CUT)
 

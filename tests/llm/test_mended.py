@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from logweave.llm import chat, common, embeddings, jaccard, langid, mixing, mpeg, packing, toxicity, warc
+from logweave.llm import chat, common, embeddings, jaccard, langid, mixing, mpeg, packing, suffix, toxicity, warc
 
 
 def rows_of(df):
@@ -295,3 +296,78 @@ def test_ids_of_texts_that_lower_case_changes():
     for _ in range(2):
         assert ids_of(words, texts) == [words.model.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert max(map(len, words.known)) <= packing.RUN_BYTES and words.at[len(words.known)] <= len(words.flat)
+
+
+# ---------------------------------------------------------------- 8
+
+
+def test_stretches_take_little_memory_and_kinds_are_not_sorted_whole(monkeypatch):
+    """Arrays of a slice stay in a core's cache; only stretches whose hash stands elsewhere are put in order by all columns."""
+    rnd = np.random.default_rng(5)
+    data = rnd.integers(97, 123, 4 << 20).astype(np.uint8)
+    data[1 << 20 : 5 << 18] = data[: 1 << 18]
+    at = np.arange(0, len(data) + 1, 4096)
+    common.powers(common.SLICE)
+    tracemalloc.start()
+    gram, h, a, b, *_, h2 = suffix.stretches(data, at, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 36 << 20
+    windows = np.concatenate([np.arange(x, y + 1) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+    assert np.array_equal(windows, np.concatenate([np.arange(x, x + 4096 - 99) for x in at[:-1]]))
+    lexsort, ordered = np.lexsort, []
+    monkeypatch.setattr(np, "lexsort", lambda keys: ordered.append(len(keys[0])) or lexsort(keys))
+    first = suffix.first_of_chunk(gram, h, h2)
+    seen = set()
+    assert first.tolist() == [not (k in seen or seen.add(k)) for k in zip(gram.tolist(), h.tolist(), h2.tolist(), strict=True)]
+    assert 0 < (~first).sum() and sum(ordered) <= 2.2 * (~first).sum() < len(h) / 4
+
+
+def test_intervals_are_extended_without_sorting_their_rows(monkeypatch):
+    """An order up to `length` symbols gives the same intervals as the whole order, whatever the number of symbols."""
+    rnd = np.random.default_rng(8)
+    argsort, ordered = np.argsort, []
+    for symbols, length in ((2, 9), (4, 30), (60, 100), (256, 40)):
+        base = rnd.integers(1, symbols + 1, 1500).astype(np.int16)
+        text = np.concatenate([base, base[200:900], base[::-1], np.ones(300, np.int16), base])
+        text[rnd.random(len(text)) < 0.004] = 0
+        text[-1] = 0
+        sa = suffix.suffix_array(text, length)
+        assert sorted(sa.tolist()) == list(range(len(text)))
+        ordered.clear()
+        monkeypatch.setattr(np, "argsort", lambda x, **k: ordered.append(len(x)) or argsort(x, **k))
+        group = np.cumsum(suffix.equal_prefixes(text, sa, length))
+        monkeypatch.undo()
+        assert sum(ordered) <= len(text)
+        stop = np.flatnonzero(text == 0)[np.searchsorted(np.flatnonzero(text == 0), sa)]
+        rows = {(int(g), text[i : i + length].tobytes()) for g, i, z in zip(group, sa.tolist(), stop, strict=True) if i + length <= z}
+        assert len(rows) == len({r[0] for r in rows}) == len({r[1] for r in rows}) > 0
+
+
+def test_ranks_of_keys_with_and_without_room_for_places():
+    key = np.random.default_rng(2).integers(0, 50, 400)
+    for bits in (9, 60):
+        rank, order = suffix.ranks(key, bits)
+        assert order.tolist() == sorted(range(400), key=lambda i: (key[i], i))
+        assert rank.tolist() == (np.unique(key, return_inverse=True)[1] + 1).tolist()
+
+
+def test_ranges_that_touch_and_cross_are_cut_by_text():
+    rnd = np.random.default_rng(3)
+    for _ in range(60):
+        lens = rnd.integers(0, 6, 30) * rnd.integers(0, 4, 30)
+        at = np.concatenate([[0], np.cumsum(lens)])
+        data = rnd.integers(0, 256, at[-1]).astype(np.uint8)
+        begin = np.sort(rnd.integers(0, at[-1] + 1, rnd.integers(0, 20)))
+        end = np.minimum(begin + rnd.integers(1, 9, len(begin)), at[-1])
+        begin, end = begin[begin < end], end[begin < end]
+        left = pa.table({"chunk": [0], "ids": [np.arange(30).tobytes()], "lengths": [lens.astype(np.int64).tobytes()], "bytes": [data.tobytes()]})
+        right = pa.table({"place": pa.array([0] * 2, pa.int64()), "data": pa.array([common.pack(begin[k::2], end[k::2]) for k in (0, 1)], pa.binary())})
+        gone = np.zeros(len(data), dtype=bool)
+        for x, y in zip(begin, end, strict=True):
+            gone[x:y] = True
+        got = suffix._cut(left, right)
+        texts = [(gone[x:y], data[x:y]) for x, y in itertools.pairwise(at)]
+        assert got.column("kept").to_pylist() == [d[~g].tobytes() for g, d in texts]
+        assert got.column("n_removed").to_pylist() == [int(g.sum()) for g, _ in texts]
+        assert got.column("n_spans").to_pylist() == [int((g & ~np.append(False, g[:-1])).sum()) for g, _ in texts]
